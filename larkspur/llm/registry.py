@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import ngram_join, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op10_quality": quality.op10_quality,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_join": ngram_join.OP3_SQL,
     "op10_quality": quality.OP10_SQL,
 }
