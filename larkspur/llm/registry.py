@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, quality
+from . import ngram_join, quality, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op10_quality": quality.op10_quality,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_suffix_dedup": suffix_dedup.OP2_SQL,
     "op3_ngram_join": ngram_join.OP3_SQL,
     "op10_quality": quality.OP10_SQL,
 }
