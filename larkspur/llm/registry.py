@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, quality, suffix_dedup
+from . import fingerprints, ngram_join, quality, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": fingerprints.op1_fingerprints,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op10_quality": quality.op10_quality,
