@@ -7,20 +7,36 @@ has an inverse modulo 2**64, so the hash of bytes [s, e) is (P[e] - P[s]) * M**-
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 U = np.uint64
 _MULTIPLIER, _INVERSE = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 
+def return_memory() -> None:
+    """Makes this process give freed arrays back to the system: idle Python workers count in an executor's memory too."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 19)  # arrays from half a MB on are mapped singly
+        libc.mallopt(-1, 1 << 22)  # free memory kept at the heap's top
+        libc.mallopt(-8, 1)  # one arena
+
+
+return_memory()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> U(30))
@@ -104,8 +120,6 @@ def owners(bounds: np.ndarray) -> np.ndarray:
 
 def as_bytes(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column; null becomes empty."""
-    import pyarrow as pa
-
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
