@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, langid, ngram_join, quality, suffix_dedup
+from . import bpe, fingerprints, langid, ngram_join, quality, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_ngram_join": ngram_join.op3_ngram_join,
+    "op6_bpe": bpe.op6_bpe,
     "op7_langid": langid.op7_langid,
     "op10_quality": quality.op10_quality,
 }
