@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, langid, ngram_join, packing, quality, suffix_dedup, toxicity, url_rules
+from . import bpe, fingerprints, langid, ngram_join, packing, pitman_yor, quality, suffix_dedup, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": bpe.op6_bpe,
     "op7_langid": langid.op7_langid,
     "op8_url_rules": url_rules.op8_url_rules,
+    "op9_pitman_yor": pitman_yor.op9_pitman_yor,
     "op10_quality": quality.op10_quality,
 }
 ORACLE_SQL: dict[str, str] = {
