@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from .textkit import Chunk, U, as_bytes, cut, group_counts, mix, pack, shingles,
 WIDTH, PERCENT = 3, 90
 NO_ID = -(1 << 63)
 FLUSH = 1 << 19
-#: Documents of a block that one task holds at once; larger blocks are searched tile by tile.
+#: Larger blocks are searched tile by tile: each two of their parts of about so many documents together.
 TILE = 2048
 #: Blocks' members that are broadcast at most (16 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -224,42 +225,48 @@ def divide_skip(index: Index, query: np.ndarray, percent: int, skip) -> Iterator
             yield j
 
 
-def block_links(ids: list[int], sets: list[np.ndarray], chunk: list[int], i: int, j: int, percent: int) -> list[tuple[int, int]]:
-    """Links that join what is linked: a forest with the components of all links between chunks i and j of a block."""
-    index_at = [k for k, c in enumerate(chunk) if c == i]
-    query_at = index_at if i == j else [k for k, c in enumerate(chunk) if c == j]
-    if not index_at or not query_at:
-        return []
-    index, parent, out = Index([sets[k] for k in index_at]), list(range(len(ids))), []
+def block_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join what is linked: a forest with the components of all links in a block.
+
+    First each document looks for one link; who finds none has none. A link that still joins two components has an end
+    outside the largest one, so only the linked documents out there look for all their links.
+    """
+    index, parent, out = Index(sets), list(range(len(ids))), []
 
     def find(x: int) -> int:
         while parent[x] != x:
             parent[x] = x = parent[parent[x]]
         return x
 
-    trees = len(set(index_at) | set(query_at))
-    for q in query_at:
-        if trees == 1:
-            break
-        for p in divide_skip(index, sets[q], percent, lambda x, q=q: find(index_at[x]) == find(q)):
-            a, b = find(index_at[p]), find(q)
-            if a != b:
-                parent[a] = b
-                trees -= 1
-                out.append((ids[index_at[p]], ids[q]))
+    def join(a: int, b: int) -> None:
+        if find(a) != find(b):
+            parent[find(a)] = find(b)
+            out.append((ids[a], ids[b]))
+
+    found = []
+    for q in range(len(ids)):
+        p = next(divide_skip(index, sets[q], percent, lambda x, q=q: x == q), None)
+        if p is not None:
+            join(p, q)
+            found.append(q)
+    sizes = Counter(map(find, found))
+    if len(sizes) > 1:
+        largest = sizes.most_common(1)[0][0]
+        for q in [q for q in found if find(q) != find(largest)]:
+            for p in divide_skip(index, sets[q], percent, lambda x, q=q: find(x) == find(q)):
+                join(p, q)
     return out
 
 
 def _search(percent: int):
     def run(t: pa.Table) -> pa.Table:
-        ids, chunk, blobs = t["doc_id"].to_pylist(), t["chunk"].to_pylist(), t["blob"].to_pylist()
+        ids, blobs = t["doc_id"].to_pylist(), t["blob"]
         tiles: dict[tuple, list[int]] = {}
         for r, key in enumerate(zip(t["block"].to_pylist(), t["i"].to_pylist(), t["j"].to_pylist(), strict=True)):
             tiles.setdefault(key, []).append(r)
         links = []
-        for (_, i, j), rows in tiles.items():
-            rows.sort(key=lambda r: (ids[r], blobs[r]))
-            links += block_links([ids[r] for r in rows], [np.frombuffer(blobs[r], U) for r in rows], [chunk[r] for r in rows], i, j, percent)
+        for rows in tiles.values():
+            links += block_links([ids[r] for r in rows], [np.frombuffer(blobs[r].as_py(), U) for r in rows], percent)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
     return run
@@ -300,8 +307,8 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     small = F.broadcast(members) if n_members <= BROADCAST_ROWS else members
     held = docs.join(small, "doc_id").select("doc_id", "block", "tiles", "text").mapInArrow(_set_blobs(width), "doc_id long, block long, tiles int, blob binary")
     chunk = F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")
-    held = held.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    held = held.select("doc_id", "block", "chunk", "blob", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    held = held.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("tiles = 1 or chunk <> other")
+    held = held.select("doc_id", "block", "blob", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
     part = F.pmod(F.xxhash64("block", "i", "j"), F.lit(max(8, n_members // 1024)))
     links = held.withColumn("part", part).groupBy("part").applyInArrow(_search(percent), "a long, b long")
     reached = components(links.union(copies.toDF("a", "b")))
