@@ -146,3 +146,14 @@ r as (select source, (f + mu * w) / (n + w) as rate from h, q)
 select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (not base_failed and rate <= 0.5) as kept
 from f join r on f.source is not distinct from r.source
 """
+
+
+def kept(docs: DataFrame, host: str = "source", text: str = "text", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """The rows of docs that judge() keeps, in docs' own columns, text included; the text never moves."""
+    fields = docs.columns
+    plain = docs.select(F.col(host).alias("__host"), F.col(text).alias("__text"))
+    measured = cut(measure(plain, "__text").withColumn("base_failed", base_failed()).withColumn("failed", any_failed()))
+    rates = host_rates(measured, "__host")
+    whole = measure(docs.withColumn("__text", F.col(text)), "__text").withColumn("base_failed", base_failed())
+    joined = whole.join(rates, whole[host].eqNullSafe(rates["host"]), "left")
+    return joined.where(~F.col("base_failed") & (F.coalesce(F.col("host_rate"), F.lit(0.0)) <= max_host_rate)).select(*(F.col(f"`{c}`") for c in fields))
