@@ -2,16 +2,71 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from larkspur.llm import langid, ngram_join, packing, quality, suffix_dedup
+from larkspur.llm.textkit import ensure_checkpoint_dir, lean
+
+#: An ambiguous prediction less sure than this is rejected.
+LEAST_SCORE = 0.6
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language go, and those whose two nearest languages can't be told apart; lang becomes the
+    predicted one. Nothing to learn from: nothing has a language."""
+    lean(spark)
+    seen = langid.identify(docs, langid.learn(docs.select("doc_id", "text", "lang")))
+    seen = seen.where((F.col("lang_pred") != langid.UNKNOWN) & ~(F.col("ambiguous") & (F.col("score") < LEAST_SCORE)))
+    return seen.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the quality rules go, and those of hosts that fail them too often."""
+    lean(spark)
+    return quality.kept(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays."""
+    lean(spark)
+    gone = ngram_join.linked(docs).where("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings that an earlier document has too are cut out of the texts; documents with nothing left go."""
+    lean(spark)
+    left = suffix_dedup.dedup(docs).withColumn("text", F.col("kept_text")).where("text <> ''")
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document lies in which training sequence."""
+    lean(spark)
+    return packing.pack(packing.sized(docs))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
+    ("quality", rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_strings", repeated_strings),
+    ("packing", packed),
+]
+#: SQL can't express the learnt first stage nor the bins of the last; the tests hold both against brute-force versions.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what each returns is written to the shared checkpoint folder and read by the next."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
