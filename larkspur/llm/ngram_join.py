@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -25,8 +26,8 @@ from .textkit import Chunk, U, as_bytes, cut, group_counts, mix, pack, shingles,
 WIDTH, PERCENT = 3, 90
 NO_ID = -(1 << 63)
 FLUSH = 1 << 19
-#: Larger blocks are searched tile by tile: each two of their parts of about so many documents together.
-TILE = 2048
+#: Larger blocks are searched tile by tile: each two of their parts of about so many shingles together.
+TILE = 1 << 20
 #: Blocks' members that are broadcast at most (16 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -164,7 +165,8 @@ def _meet(t: pa.Table) -> pa.Table:
 
 
 class Index:
-    """Inverted lists of a block: for each shingle the positions of the documents that have it, in order."""
+    """Inverted lists of a block: for each shingle the positions of the documents that have it, in order. Shingles of one
+    document alone are left out: they are in no overlap."""
 
     def __init__(self, sets: list[np.ndarray]):
         self.sizes = [len(s) for s in sets]
@@ -173,12 +175,13 @@ class Index:
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        runs = owner[order].tolist()
-        ends = np.append(heads[1:], len(keys)).tolist()
-        self.lists = {k: runs[s:e] for k, s, e in zip(keys[heads].tolist(), heads.tolist(), ends, strict=True)}
+        runs = array("i", owner[order].astype(np.int32).tobytes())
+        ends = np.append(heads[1:], len(keys))
+        many = ends - heads > 1
+        self.lists = {k: runs[s:e] for k, s, e in zip(keys[heads[many]].tolist(), heads[many].tolist(), ends[many].tolist(), strict=True)}
 
 
-def merge_skip(lists: list[list[int]], need: int) -> Iterator[tuple[int, int]]:
+def merge_skip(lists: list[array], need: int) -> Iterator[tuple[int, int]]:
     """(value, how many of the sorted lists have it), for values in at least need of them."""
     heap = [(x[0], i, 0) for i, x in enumerate(lists)]
     heapq.heapify(heap)
@@ -205,7 +208,7 @@ def divide_skip(index: Index, query: np.ndarray, percent: int, skip) -> Iterator
     """Positions in the index of the sets similar to the query, but for those that skip() names."""
     n = len(query)
     need = -(-percent * n // 100)
-    lists = sorted((x for k in query.tolist() if (x := index.lists.get(k))), key=len)
+    lists = sorted((x for k in query.tolist() if (x := index.lists.get(k)) is not None), key=len)
     if len(lists) < need:
         return
     longest = len(lists[-1])
@@ -301,7 +304,8 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     for end in ("a", "b"):
         near = near.join(rep.select(F.col("doc_id").alias(end), "rep"), end, "left").withColumn(end, F.coalesce("rep", end)).drop("rep")
     blocks = components(near)
-    sizes = blocks.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    sized = blocks.join(profile.groupBy(F.col("doc_id").alias("node")).agg(F.sum("n").alias("n")), "node")
+    sizes = sized.groupBy("component").agg(F.sum("n").alias("size"))
     members = cut(blocks.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("block"), F.ceil(F.col("size") / TILE).cast("int").alias("tiles")))
     n_members = members.count()
     small = F.broadcast(members) if n_members <= BROADCAST_ROWS else members
@@ -309,7 +313,7 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     chunk = F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")
     held = held.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("tiles = 1 or chunk <> other")
     held = held.select("doc_id", "block", "blob", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    part = F.pmod(F.xxhash64("block", "i", "j"), F.lit(max(8, n_members // 1024)))
+    part = F.pmod(F.xxhash64("block", "i", "j"), F.lit(max(8, n_members // 256)))
     links = held.withColumn("part", part).groupBy("part").applyInArrow(_search(percent), "a long, b long")
     reached = components(links.union(copies.toDF("a", "b")))
     out = profile.join(reached, F.col("doc_id") == F.col("node"), "left")
