@@ -435,8 +435,9 @@ def match(text, pattern):
 
 @column("join")
 def join(a, b):
+    """The elements of a list column in one text."""
     x, sep = (a, b) if isinstance(a, Expr) else (b, a)
-    return typed_row(lambda c, v: F.array_join(v if isinstance(c.kind(v), T.ArrayType) else in_order(c, v), str(sep)), x)
+    return by_row(lambda v: F.array_join(v.cast("array<string>"), str(sep)), x)
 
 
 @column("split")
