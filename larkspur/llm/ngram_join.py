@@ -28,7 +28,7 @@ NO_ID = -(1 << 63)
 FLUSH = 1 << 19
 #: Larger blocks are searched tile by tile: each two of their parts of about so many shingles together.
 TILE = 1 << 20
-#: Blocks' members that are broadcast at most (16 bytes each); beyond it they are joined by a shuffle.
+#: Blocks' members that are broadcast at most (some 40 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
 
@@ -265,7 +265,7 @@ def _search(percent: int):
     def run(t: pa.Table) -> pa.Table:
         ids, blobs = t["doc_id"].to_pylist(), t["blob"]
         tiles: dict[tuple, list[int]] = {}
-        for r, key in enumerate(zip(t["block"].to_pylist(), t["i"].to_pylist(), t["j"].to_pylist(), strict=True)):
+        for r, key in enumerate(zip(t["block"].to_pylist(), t["band"].to_pylist(), t["i"].to_pylist(), t["j"].to_pylist(), strict=True)):
             tiles.setdefault(key, []).append(r)
         links = []
         for rows in tiles.values():
@@ -304,16 +304,21 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     for end in ("a", "b"):
         near = near.join(rep.select(F.col("doc_id").alias(end), "rep"), end, "left").withColumn(end, F.coalesce("rep", end)).drop("rep")
     blocks = components(near)
-    sized = blocks.join(profile.groupBy(F.col("doc_id").alias("node")).agg(F.sum("n").alias("n")), "node")
-    sizes = sized.groupBy("component").agg(F.sum("n").alias("size"))
-    members = cut(blocks.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("block"), F.ceil(F.col("size") / TILE).cast("int").alias("tiles")))
+    sized = blocks.join(profile.select(F.col("doc_id").alias("node"), "n").distinct(), "node").select(F.col("node").alias("doc_id"), F.col("component").alias("block"), "n")
+    sizes = sized.groupBy("block").agg(F.sum("n").alias("size"))
+    # linked sets differ little in size: a large block falls into bands of sizes, each set in its own and the next
+    band = F.floor(F.ln("n") / F.lit(math.log(100 / (percent - 1)))).cast("int")
+    banded = sized.join(sizes, "block").select("doc_id", "block", "n", F.explode(F.when(F.col("size") > TILE, F.array(band, band + 1)).otherwise(F.array(F.lit(0)))).alias("band"))
+    bands = banded.groupBy("block", "band").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    members = cut(banded.join(bands, ["block", "band"]).select("doc_id", "n", "block", "band", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")))
     n_members = members.count()
     small = F.broadcast(members) if n_members <= BROADCAST_ROWS else members
-    held = docs.join(small, "doc_id").select("doc_id", "block", "tiles", "text").mapInArrow(_set_blobs(width), "doc_id long, block long, tiles int, blob binary")
+    held = docs.join(small, "doc_id").select("doc_id", "n", "block", "band", "tiles", "text").mapInArrow(_set_blobs(width), "doc_id long, n long, block long, band int, tiles int, blob binary")
+    held = held.where(F.length("blob") == 8 * F.col("n"))  # of an id's several texts the one meant
     chunk = F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")
     held = held.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("tiles = 1 or chunk <> other")
-    held = held.select("doc_id", "block", "blob", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    part = F.pmod(F.xxhash64("block", "i", "j"), F.lit(max(8, n_members // 256)))
+    held = held.select("doc_id", "block", "band", "blob", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    part = F.pmod(F.xxhash64("block", "band", "i", "j"), F.lit(max(8, n_members // 256)))
     links = held.withColumn("part", part).groupBy("part").applyInArrow(_search(percent), "a long, b long")
     reached = components(links.union(copies.toDF("a", "b")))
     out = profile.join(reached, F.col("doc_id") == F.col("node"), "left")
