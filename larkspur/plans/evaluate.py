@@ -284,9 +284,8 @@ class Interpreter:
         data = [a for a in args if isinstance(a, list) and not (name in ("within", "in") and a is args[1])]
         columns = {f"c{k}": a for k, a in enumerate(args) if any(a is d for d in data)} or {"c0": args[-1]}
         frame = from_columns(self.engine.spark, columns)
-        exprs = [Expr(lambda c, k=k: quoted(f"c{k}"), f"c{k}") if f"c{k}" in columns or len(columns) == 1 and not data and a is args[-1] else a for k, a in enumerate(args)]
-        if not data:
-            exprs[-1] = Expr(lambda c: quoted("c0"), "c0")
+        at = [k for k in range(len(args)) if f"c{k}" in columns] if data else [len(args) - 1]
+        exprs = [Expr(lambda c, n=f"c{k}" if data else "c0": quoted(n), f"c{k}") if k in at else a for k, a in enumerate(args)]
         made = COLUMN[name](*exprs)
         out = self.select(frame, [("v", made)], [])
         rows = [r["v"] for r in out.sorted().collect()]
