@@ -327,11 +327,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
-p as (select doc_id, h, unnest(range(0, len(h) // 2)) as i from d),
-s as (select doc_id, i, substring(h, 2 * i + 1, 100) as g from p where 2 * i + 100 <= len(h)),
+k as (select doc_id, len(h) // 2 as n, k, substring(h, 1000 * k + 1, 1098) as c from (select doc_id, h, unnest(range(0, (len(h) // 2 + 499) // 500)) as k from d)),
+p as (select doc_id, 500 * k + j as i, n, substring(c, 2 * j + 1, 2) as b, substring(c, 2 * j + 1, 100) as g from (select *, unnest(range(0, least(500, n - 500 * k))) as j from k)),
+s as (select doc_id, i, g from p where i + 50 <= n),
 m as (select doc_id, i, min(doc_id) over (partition by g) as first from s),
 x as (select doc_id, i, max(i) over (partition by doc_id order by i rows between unbounded preceding and current row) as last from m where first < doc_id),
-f as (select p.doc_id, p.i, substring(p.h, 2 * p.i + 1, 2) as b,
+f as (select p.doc_id, p.i, b,
         coalesce(p.i - max(x.i) over (partition by p.doc_id order by p.i rows between unbounded preceding and current row) < 50, false) as gone
       from p left join x on x.doc_id = p.doc_id and x.i = p.i),
 e as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) as opens from f),
