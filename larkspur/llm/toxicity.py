@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .textkit import TERM_BYTE, U, Chunk, as_bytes, fold, mix, owners, spans, table
+from .textkit import TERM_BYTE, U, Chunk, as_bytes, cut, fold, mix, owners, spans, table
 
 #: At most so many terms, of at least that chi-square against the labels.
 TERMS, LEAST_CHI2 = 1024, 25.0
-#: The examples: at most so many of each label, those whose ids hash lowest.
-EXAMPLES = 3000
+#: The learning sample: at most so many labelled rows of each label, those whose ids hash lowest; the first of them are
+#: the examples.
+SAMPLE, EXAMPLES = 20_000, 3000
 NEIGHBOURS, BLOCK = 25, 64
 
 
@@ -205,16 +206,19 @@ def _platt(votes: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, floa
     return max(float(b[0]), 1e-3), float(b[1])
 
 
-def learn(docs: DataFrame, labelled: DataFrame, examples: int = EXAMPLES) -> Model | None:
-    """Fits a model: labelled has (doc_id, text, toxic). Terms are chosen on all labelled rows, idf counts all of docs,
-    and the examples are bounded: at most `examples` rows of each label. None if a label is missing."""
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, examples: int = EXAMPLES) -> Model | None:
+    """Fits a model: docs has (doc_id, text), labels (doc_id, toxic). Terms are chosen on a bounded sample of at most
+    `sample` rows of each label, of which at most `examples` are kept as examples; idf counts all of docs. None if a label
+    is missing. An id with two labels counts as two rows."""
+    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = cut(labels.select("doc_id", "toxic").distinct().withColumn("r", rank).where(F.col("r") <= sample))
+    # at most twice `sample` ids
+    labelled = docs.join(F.broadcast(ids), "doc_id")
     terms = chosen_terms(labelled)
     if not len(terms):
         return None
     df = document_frequency(docs, terms)
     idf = np.log(1 + df[-1] / np.maximum(df[:-1], 1))
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = labelled.select("doc_id", "toxic").distinct().withColumn("r", rank).where(F.col("r") <= examples).select("doc_id", "toxic")
     held = docs.sparkSession.sparkContext.broadcast((terms, idf))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,10 +226,10 @@ def learn(docs: DataFrame, labelled: DataFrame, examples: int = EXAMPLES) -> Mod
             vectors = weights_of(as_bytes(b.column(2)), *held.value)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([p.tolist() for p, _ in vectors], pa.list_(pa.int32())), pa.array([w.tolist() for _, w in vectors], pa.list_(pa.float64()))], ["doc_id", "toxic", "p", "w"])
 
-    # at most twice `examples` ids
-    rows = labelled.join(F.broadcast(ids), ["doc_id", "toxic"]).select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, p array<int>, w array<double>")
+    # at most twice `examples` rows
+    rows = labelled.where(F.col("r") <= examples).select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, p array<int>, w array<double>")
     rows = sorted(map(tuple, rows.collect()), key=lambda r: (len(r[2]) == 0, r[2], r[0]))  # like by like, for tight bounds
-    counts = {r[0]: r[1] for r in labelled.groupBy("toxic").count().collect()}
+    counts = {r[0]: r[1] for r in labels.groupBy("toxic").count().collect()}
     have = {v: max(1, sum(r[1] == v for r in rows)) for v in (0, 1)}
     share = {v: counts.get(v, 0) / have[v] for v in (0, 1)}
     return Model(terms, idf, [(np.array(p, np.int64), np.array(w)) for _, _, p, w in rows], [r[1] for r in rows], [r[0] for r in rows], share)
@@ -256,5 +260,5 @@ def rate(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    model = learn(docs, docs.join(labels.where(fold() != 0), "doc_id"))
+    model = learn(docs, labels.where(fold() != 0))
     return rate(docs.withColumn("held_out", F.coalesce(fold() == 0, F.lit(False))), model).select("doc_id", "held_out", "score", "predicted", "evidence")
