@@ -12,7 +12,6 @@ import glob
 import logging
 import operator
 import os
-import random
 import re
 import time
 import zoneinfo
@@ -467,7 +466,6 @@ plain(
     join=lambda sep, x: str(sep).join(map(str, x)), split=lambda sep, x: [v.split(sep) for v in x] if isinstance(x, list) else x.split(sep),
     key=lambda x: list(x), value=lambda x: list(x.values()), type=lambda x: Sym(type_name(x)), inv=lambda m: np.linalg.inv(np.array(m, float)).tolist(),
     reverse=lambda x: x[::-1], asc=lambda x: sorted(x, key=lambda v: (v is not None, v)), desc=lambda x: sorted((v for v in x if v is not None), reverse=True) + [v for v in x if v is None],
-    enlist_dict=lambda d: [d], range_of=lambda a, b: list(range(a, b)),
 )
 for _name in ("reverse", "asc", "desc"):
     VALUES[_name] = lambda i, s, x, fn=VALUES[_name], name=_name: fn(i, s, x) if isinstance(x, list) else Frame(x.ordered().data.orderBy(*(quoted(o).desc() for o in x.ordered().order)).withColumn("__row", F.monotonically_increasing_id()), ["__row"])
@@ -674,5 +672,3 @@ def system(i, s, *a):
 
 for _name in ("info", "warn", "debug", "error"):
     VALUES[f".log.{_name}"] = lambda i, s, x, level=_name: getattr(log, "warning" if level == "warn" else level)(" ".join(map(str, x)) if isinstance(x, list) else str(x))
-del VALUES["enlist_dict"], VALUES["range_of"]
-_ = random

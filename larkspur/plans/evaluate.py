@@ -10,7 +10,6 @@ import functools
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.columns import COLUMN, in_order
@@ -152,7 +151,7 @@ class Interpreter:
             return self.engine.get_var(name)
         if name in ("this.h", "this.user"):
             return self.engine.context.get(name)
-        if name in COLUMN or name in self.engine.values:
+        if name == "col" or name in COLUMN or name in self.engine.values:
             return Builtin(name)
         raise NameProblem(f"no name {name!r}")
 
@@ -264,7 +263,7 @@ class Interpreter:
             return r.value
 
     def _builtin(self, scope: Scope, name: str, args: list[Any]) -> Any:
-        if any(isinstance(a, Expr) for a in args) or name in ("col", "lit") and scope.columns:
+        if any(isinstance(a, Expr) for a in args) or name == "col" or name == "lit" and scope.columns:
             if name == "col":
                 return Expr(lambda c: quoted(str(args[0])), str(args[0]))
             if name not in COLUMN:
@@ -438,6 +437,3 @@ def frame_of(x: Any, spark) -> Frame:
     if not isinstance(x, Frame):
         raise EvalProblem(f"expected a frame, got {type(x).__name__}")
     return x
-
-
-__all__ = ["Builtin", "Column", "EvalProblem", "Function", "Interpreter", "NameProblem", "Partial", "Scope", "Window", "frame_of", "symbols", "truthy"]

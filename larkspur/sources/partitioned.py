@@ -116,6 +116,3 @@ def conditions_name(node: tuple, column: str) -> bool:
     """Whether a where clause bounds the partition column: the column on the left of = >= > <= < within in."""
     return node[0] == "binary" and node[1] in ("=", ">=", ">", "<=", "<", "within", "in") and node[2] == ("id", column)
 
-
-def empty_like(frame: Frame) -> Frame:
-    return Frame(frame.data.where(F.lit(False)), frame.order)

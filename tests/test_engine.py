@@ -92,6 +92,7 @@ def test_joins(e):
     assert rows(e.eval("lj(`k, l, r)")) == [("a", 1, None), ("b", 20, 5), ("c", None, 6)]
     assert rows(e.eval("ij(`k, l, r)")) == [("b", 20, 5), ("c", None, 6)]
     assert len(rows(e.eval("fj(`k, l, r)"))) == 4 and rows(e.eval("anti(`k, l, r)")) == [("a", 1)] and len(rows(e.eval("cj(`k, l, r)"))) == 9
+    assert rows(e.eval("select v: col(\"v\") + lit(1) from l limit 1")) == [(2,)]
     with pytest.raises(JoinProblem):
         e.eval("lj(`k, l, vstack(r, r))")
 
