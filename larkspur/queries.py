@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -19,16 +20,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def engine(spark: SparkSession, sf_dir: str, syntax: str = "infix") -> Engine:
+def engine(spark: SparkSession, sf_dir: str, syntax: str = "infix", source: str | None = None) -> Engine:
+    """An engine with the tables that a source names, or all."""
     e = Engine(spark, syntax)
-    for t in TABLES:
+    for t in TABLES if source is None else [t for t in TABLES if re.search(rf"\b{t}\b", source)]:
         e.vars[t] = Frame(spark.read.parquet(f"{sf_dir}/{t}.parquet"), ORDER.get(t))
     return e
 
 
 def text(name: str, source: str, sql: str | None, syntax: str = "infix") -> None:
     """A query in the language."""
-    QUERIES[name] = lambda spark, sf_dir: engine(spark, sf_dir, syntax).eval(source).df
+    QUERIES[name] = lambda spark, sf_dir: engine(spark, sf_dir, syntax, source).eval(source).df
     if sql:
         ORACLE_SQL[name] = sql
 
