@@ -400,7 +400,7 @@ def test_probabilities_sum_to_one():
             rows = [(i, *x) for i, x in enumerate(zip(*cols, strict=True))]
     m = pitman_yor.Totals(rows)
     k = pitman_yor.Types([x.encode() for x in texts], 1)
-    x = textkit.unpack(next(b for kd, b in zip(told["kind"].to_pylist(), told["blob"].to_pylist(), strict=True) if kd == 0))
+    x = pitman_yor.reply(next(b for kd, b in zip(told["kind"].to_pylist(), told["blob"].to_pylist(), strict=True) if kd == 0))
     s = 0
     base = (1 + m.upper * m.tops[s]) / (m.known + 1) / (1 + m.guests[s])
     parent = base + (x[1 + s] - m.upper * x[1 + pitman_yor.SAMPLES + s]) / (1 + m.guests[s])
