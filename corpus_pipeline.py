@@ -13,6 +13,8 @@ from larkspur.llm.textkit import ensure_checkpoint_dir, lean
 
 #: An ambiguous prediction less sure than this is rejected.
 LEAST_SCORE = 0.6
+#: Near duplicates share that many percent of their shingles of so many words.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays."""
     lean(spark)
-    gone = ngram_join.linked(docs).where("component_id < doc_id").select("doc_id").distinct()
+    gone = ngram_join.linked(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT).where("component_id < doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -54,8 +54,9 @@ def size_classes(percent: int, most: int) -> list[int]:
 def part_signatures(s: np.ndarray, percent: int, lows: list[int]) -> np.ndarray:
     """Signatures of which any two sets with that Jaccard similarity share one.
 
-    Such sets differ in at most (100 - percent) / (100 + percent) of their summed sizes. With two parts more than
-    that, two parts agree at least; a part without shingles tells nothing, so it counts only where a set has several.
+    Such sets differ in at most (100 - percent) / (100 + percent) of their summed sizes, and so on as many parts at most.
+    A set with t shingles or more in more parts than that agrees on one of these, so the largest such t counts: parts
+    with few shingles tell little, those without nothing. Of two sets the one with the larger t decides.
     """
     n, values = len(s), mix(s)
     k = int(np.searchsorted(lows, n, "right")) - 1
@@ -64,11 +65,13 @@ def part_signatures(s: np.ndarray, percent: int, lows: list[int]) -> np.ndarray:
         if c > k and 100 * n < percent * lows[c]:
             continue
         differ = 2 * (lows[c + 1] - 1) * (100 - percent) // (100 + percent)
-        m = differ + 2 if differ else 1
+        m = differ + max(2, differ * 36 // 100) if differ else 1
         part = ((mix(values + U(c)) >> U(32)) * U(m) >> U(32)).astype(np.int64)
         sums, counts = np.zeros(m, U), np.bincount(part, minlength=m)
         np.add.at(sums, part, values)
-        use = np.arange(m) if (counts == 0).sum() > 1 else np.flatnonzero(counts)
+        # no similar set is larger than 100 / percent times this one
+        own = min(differ, (100 - percent) * (n + 100 * n // percent) // (100 + percent))
+        use = np.flatnonzero(counts >= np.sort(counts)[m - 1 - own])
         out.append(mix(sums[use] + mix(use.astype(U) + U(c << 32) + U(1 << 60))))
     return np.concatenate(out)
 
