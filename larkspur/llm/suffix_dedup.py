@@ -120,8 +120,7 @@ def _phrases(length: int, width: int, buckets: int):
         for b, x in _deal((p.gram[at] >> U(13)) % U(buckets), buckets):
             x = np.sort(at[x])
             docs, where = np.unique(ids[p.doc[x]], return_inverse=True)
-            short = p.context[x].view(np.uint8).reshape(-1, 8)
-            out.append((b, gid, 0, pack(p.gram[x], np.ascontiguousarray(short[:, :4]).view(np.uint32).ravel(), short[:, 4], docs, np.diff(where, prepend=0).astype(np.int16 if len(docs) < 1 << 15 else np.int32), np.diff(x, prepend=0).astype(np.uint32))))
+            out.append((b, gid, 0, pack(p.gram[x], p.context[x], docs, np.diff(where, prepend=0).astype(np.int16 if len(docs) < 1 << 15 else np.int32), np.diff(x, prepend=0).astype(np.uint32))))
         return _rows(out)
 
     return run
@@ -131,9 +130,9 @@ def _dictionary(t: pa.Table) -> pa.Table:
     """Tells each group which triggers are settled and which need the order of what surrounds them."""
     gids, parts = t["gid"].to_pylist(), [unpack(x) for x in t["blob"].to_pylist()]
     gram = np.concatenate([x[0] for x in parts])
-    context = np.concatenate([x[1].astype(U) << U(8) | x[2].astype(U) for x in parts])
-    docs = np.concatenate([x[3][np.cumsum(x[4], dtype=np.int64)] for x in parts])
-    mark = np.concatenate([np.cumsum(x[5], dtype=np.int64) for x in parts])
+    context = np.concatenate([x[1] for x in parts])
+    docs = np.concatenate([x[2][np.cumsum(x[3], dtype=np.int64)] for x in parts])
+    mark = np.concatenate([np.cumsum(x[4], dtype=np.int64) for x in parts])
     of = np.repeat(np.arange(len(parts)), [len(x[0]) for x in parts])
     order = np.lexsort((docs, context, gram))
     g, c, d = gram[order], context[order], docs[order]
