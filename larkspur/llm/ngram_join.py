@@ -85,8 +85,8 @@ def _profile(width: int, percent: int, buckets: int):
         s1 = np.array([mix(s).sum(dtype=U) for s in sets], U)
         s2 = np.array([mix(s + U(77)).sum(dtype=U) for s in sets], U)
         yield at % buckets, 1, pack(ids, n, s1, s2)
-        first = np.unique(np.rec.fromarrays([n, s1, s2]), return_index=True)[1]
-        use = first[(n[first] > 0) & (ids[first] != NO_ID)]
+        own = np.flatnonzero((n > 0) & (ids != NO_ID))
+        use = own[np.unique(np.rec.fromarrays([n[own], s1[own], s2[own]]), return_index=True)[1]]
         if not len(use):
             return
         lows = size_classes(percent, 2 * int(n.max()) + 4)
@@ -299,11 +299,13 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     met = cut(docs.mapInArrow(_profile(width, percent, buckets), "bucket int, kind int, blob binary").groupBy("bucket").applyInArrow(_meet, PROFILE))
     profile = met.where("kind = 1").select(F.col("a").alias("doc_id"), "n", "s1", "s2")
     classes = profile.where(f"n > 0 and doc_id <> {NO_ID}").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
-    copies = profile.join(classes.where("rep < last"), ["n", "s1", "s2"]).where("doc_id <> rep").select("doc_id", "rep")
-    # what stands for equal sets; an id with several texts may have several, all linked
+    copies = profile.join(classes.where("rep < last"), ["n", "s1", "s2"]).where(f"doc_id <> rep and doc_id <> {NO_ID}").select("doc_id", "rep")
     copies = cut(copies.distinct())
     near = met.where("kind = 0").select("a", "b").distinct()
-    rep = copies.groupBy("doc_id").agg(F.min("rep").alias("rep"))
+    # what stands for equal sets; an id with several sets stands for itself, or the links of the others would be lost
+    one = F.struct("n", "s1", "s2")
+    several = profile.where(f"n > 0 and doc_id <> {NO_ID}").groupBy("doc_id").agg(F.min(one).alias("x"), F.max(one).alias("y")).where("x <> y").select("doc_id")
+    rep = copies.join(several, "doc_id", "left_anti").groupBy("doc_id").agg(F.min("rep").alias("rep"))
     for end in ("a", "b"):
         near = near.join(rep.select(F.col("doc_id").alias(end), "rep"), end, "left").withColumn(end, F.coalesce("rep", end)).drop("rep")
     blocks = components(near)
