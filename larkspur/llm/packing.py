@@ -13,9 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ngram_join import linked
 from .textkit import table
 
 CAPACITY = 2048
+#: Near duplicates share that many percent of their shingles of so many words.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
 #: Documents of a shard, about; each shard is packed by one task from ids and sizes alone.
 SHARD = 4096
 
@@ -88,11 +91,18 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", size
     return dealt.groupBy("shard").applyInArrow(run, "doc_id long, piece long, start long, size long, bin_id long, bin_offset long")
 
 
-def sized(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, source, size, cluster): size in words, and one cluster for texts alike but for case and white space."""
-    words = F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+"))
-    plain = F.regexp_replace(F.lower(F.trim(F.coalesce(F.col(text), F.lit("")))), r"[\x20\x09-\x0D]+", " ")
-    return docs.select("doc_id", "source", F.coalesce(words, F.lit(0)).alias("size"), F.xxhash64(plain).alias("cluster"))
+def sized(docs: DataFrame, text: str = "text", width: int = NEAR_WIDTH, percent: int = NEAR_PERCENT) -> DataFrame:
+    """(doc_id, source, size, cluster): size in words, and the near-duplicate component of the text, case aside.
+
+    Rows with one id are of one cluster, and so are all texts without words. A row without id goes by its text.
+    """
+    words = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\x20\x09-\x0D]+", " "))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(plain))
+    near = linked(docs.select(key.alias("doc_id"), F.lower(text).alias("text")), width=width, percent=percent)
+    near = near.where("n_shingles > 0").groupBy(F.col("doc_id").alias("key_")).agg(F.min("component_id").alias("near_"))
+    rows = docs.select("doc_id", "source", words.alias("size"), F.xxhash64(plain).alias("plain_"), key.alias("key_"))
+    return rows.join(near, "key_", "left").select("doc_id", "source", "size", F.coalesce("near_", "plain_").alias("cluster"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
