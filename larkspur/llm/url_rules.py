@@ -19,7 +19,7 @@ from .textkit import table
 
 #: Fixed values: (verdict, host, path) of the rules that come before any mined one.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MAX_RULES, MAX_TOKENS = 0.002, 30, 0.5, 10_000, 24
+MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MAX_RULES = 0.002, 30, 0.5, 10_000
 BLOCK = "label=block"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -41,8 +41,7 @@ def fixed_rule(host: Column, path: Column, rules: list[tuple[str, str, str]] = R
 
 
 def tokens(url: str | None) -> list[str]:
-    """The distinct tokens of a URL, MAX_TOKENS at most from each of host, path and query: scheme, labels, segments with
-    digits folded, parameter names."""
+    """The distinct tokens of a URL: scheme, labels, segments with digits folded, parameter names."""
     scheme, mark, rest = (url or "").partition("://")
     if not mark:
         return []
@@ -51,9 +50,9 @@ def tokens(url: str | None) -> list[str]:
     host, _, path = rest.partition("/")
     fold = lambda x: re.sub(r"\d+", "0", x.lower())
     labels = host.lower().split(".")
-    out = ["scheme:" + scheme.lower(), *("host:" + x for x in labels[-MAX_TOKENS:]), *("word:" + w for x in labels[-MAX_TOKENS:] if "-" in x for w in x.split("-"))]
-    out += ["path:" + fold(x) for x in path.split("/")[:MAX_TOKENS] if x]
-    out += ["param:" + fold(x.partition("=")[0]) for x in query.split("&")[:MAX_TOKENS] if x]
+    out = ["scheme:" + scheme.lower(), *("host:" + x for x in labels), *("word:" + w for x in labels if "-" in x for w in x.split("-"))]
+    out += ["path:" + fold(x) for x in path.split("/") if x]
+    out += ["param:" + fold(x.partition("=")[0]) for x in query.split("&") if x]
     return list(dict.fromkeys(out + (["fragment"] if fragment else [])))
 
 
