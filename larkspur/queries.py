@@ -139,6 +139,13 @@ text("array_sets", "select p_partkey, a: count each (x intersect y), b: count ea
 text("list_columns", "select p_partkey, a: x @ 0, b: x @ -1, c: max each x, d: x join \"-\" from (select p_partkey, x: p_type split \" \" from part)", "select p_partkey, x[1] as a, x[-1] as b, list_max(x) as c, array_to_string(x, '-') as d from (select p_partkey, string_split(p_type, ' ') as x from part)")
 text("functional", ".fn.select(`events, 0n, [[>, `value, 50.0]], {t: `event_type}, {n: [count, `value], hi: [max, `value]}, 0n)", "select event_type as t, count(*) as n, max(value) as hi from events where value > 50 group by 1")
 
+# whole tables, where a query above takes some rows
+
+text("weighted_all", "select event_id, m from (update m: (0.5 emean value) round 4 by user_id from events)", None)
+text("lists_by_group_all", "select event_type, ids: ids join \",\" from (select ids: event_id by event_type from events)", "select event_type, string_agg(event_id::varchar, ',' order by event_id) as ids from events group by 1")
+text("spread_aggregate_all", "select event_id, d: (value - min(value)) round 4 from events", "select event_id, round(value - min(value) over (), 4) as d from events")
+text("virtual_index_all", "select event_id, k: i from events", "select event_id, row_number() over (order by event_id)::int - 1 as k from events")
+
 
 # tables on disk, streams
 
@@ -157,6 +164,21 @@ QUERIES["partitioned_years"] = partitioned_years
 ORACLE_SQL["partitioned_years"] = "select year(o_orderdate)::int as year, count(*) as n, round(sum(o_totalprice), 2) as total from orders where year(o_orderdate) between 1996 and 1997 group by 1"
 
 
+def partitioned_all_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders written by year, loaded again and read."""
+    e, root = engine(spark, sf_dir), scratch(spark)
+    orders = e.get_var("orders")
+    years = sorted(r.y for r in orders.data.where("o_orderdate is not null").select(F.year("o_orderdate").alias("y")).distinct().collect())
+    for y in years:
+        e.write_partitioned_df(Frame(orders.data.where(F.year("o_orderdate") == y)), root, "by_year", y, ["o_custkey"])
+    e.load_partitioned_df(root)
+    return e.eval(f"select n: count(i), total: sum(o_totalprice) round 2 by year from by_year where year within {years[0]} {years[-1]}").df
+
+
+QUERIES["partitioned_all_years"] = partitioned_all_years
+ORACLE_SQL["partitioned_all_years"] = "select year(o_orderdate)::int as year, count(*) as n, round(sum(o_totalprice), 2) as total from orders group by 1"
+
+
 def stream_last_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a stream of files into a sink that keeps each user's last row."""
     path, root = f"{sf_dir}/events.parquet", scratch(spark)
