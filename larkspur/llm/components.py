@@ -2,27 +2,67 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import cut
+from .textkit import cut, discard
+
+#: Nodes that a task holds at most before it passes on the forest it has.
+HELD = 1_000_000
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b), a > b, as edges from each node to the least node it reaches among the edges of this task."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := up[x]) != x:
+            up[x] = x = up[y]
+        return x
+
+    def out() -> Iterator[pa.RecordBatch]:
+        found = [(x, r) for x in up if (r := find(x)) != x]
+        for i in range(0, len(found), 10_000):
+            a, b = zip(*found[i : i + 10_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            up.setdefault(a, a)
+            up.setdefault(b, b)
+            a, b = find(a), find(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+        if len(up) > HELD:
+            yield from out()
+            up.clear()
+    yield from out()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest id reachable from each id that occurs in an edge.
 
-    Alternating large-star and small-star steps; edges stay in the cluster, each round is cut in the checkpoint folder
-    and the rounds grow with the logarithm of the longest path. Loops and null ends are ignored; no edges: empty result.
+    Each task first contracts the edges it has; then large-star and small-star steps alternate. Edges stay in the
+    cluster, each round is written to the checkpoint folder in place of the last, and the rounds grow with the logarithm
+    of the longest path. Nodes with many neighbours are minima of partial aggregates and sides of joins that Spark can
+    split. Loops and null ends are ignored; no edges: empty result.
     """
     big, small = F.greatest(F.col(a), F.col(b)).alias("a"), F.least(F.col(a), F.col(b)).alias("b")
-    now = cut(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(big, small).distinct())
-    state = None
+    real = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(big.cast("long"), small.cast("long"))
+    now, state = cut(real.mapInArrow(_forests, "a long, b long").distinct()), None
     while (sums := now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()) != state:
         state = sums
-        low = now.union(now.select("b", "a")).groupBy(F.col("a").alias("k")).agg(F.min("b").alias("low")).where("low < k")
-        large = now.join(low, now["b"] == low["k"], "left").select("a", F.coalesce("low", "b").alias("b")).distinct()
-        least = large.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        low = now.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("low"))
+        large = now.join(low, now["b"] == low["k"], "left").select("a", F.coalesce("low", "b").alias("b"))
+        least = large.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low < high").select("k", "low")
         joined = large.join(least, large["a"] == least["k"], "left").select("a", "b", "low")
-        moved = joined.where("low < b").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        now = cut(joined.select("a", F.coalesce("low", "b").alias("b")).union(moved).distinct())
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b")).distinct())
+        both = F.array(F.struct(F.col("a"), F.coalesce("low", "b").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))
+        moved = joined.select(F.explode(both).alias("e")).select("e.*").where("a > b")
+        before, now = now, cut(moved.distinct())
+        discard(before)
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b")).distinct())
+    out.stored_at = now.stored_at
+    return out

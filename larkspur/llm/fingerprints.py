@@ -76,7 +76,7 @@ def followed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs = docs.withColumn("ord", F.coalesce("doc_id", F.lit(LOWEST)))
-    _, n = group_counts(docs.count())
+    _, n = group_counts(docs, text)
     bounds = sorted(set(map(int, docs.approxQuantile("ord", [i / n for i in range(1, n)], 0.2 / n))))
     bounds = [LOWEST, *(x for x in bounds if x > LOWEST)]
     step = math.isqrt(len(bounds)) + 1

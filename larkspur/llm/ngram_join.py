@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .textkit import Chunk, U, as_bytes, cut, group_counts, mix, pack, shingles, spans, table, unpack
+from .textkit import Chunk, U, as_bytes, cut, discard, group_counts, mix, pack, shingles, spans, table, unpack
 
 WIDTH, PERCENT = 3, 90
 NO_ID = -(1 << 63)
@@ -77,16 +77,19 @@ def part_signatures(s: np.ndarray, percent: int, lows: list[int]) -> np.ndarray:
 
 
 def _profile(width: int, percent: int, buckets: int):
-    """Packed signatures for each bucket, and each document's id, set size and 128-bit set hash, packed too."""
+    """Packed signatures for each bucket, and each document's id, set size, 128-bit set hash and the id that stands for
+    its set among the documents flushed together, packed too."""
 
     def flush(ids: list, sets: list, at: int) -> Iterator[tuple[int, int, bytes]]:
         ids = np.array(ids, np.int64)
         n = np.fromiter(map(len, sets), np.int64, len(sets))
         s1 = np.array([mix(s).sum(dtype=U) for s in sets], U)
         s2 = np.array([mix(s + U(77)).sum(dtype=U) for s in sets], U)
-        yield at % buckets, 1, pack(ids, n, s1, s2)
         own = np.flatnonzero((n > 0) & (ids != NO_ID))
-        use = own[np.unique(np.rec.fromarrays([n[own], s1[own], s2[own]]), return_index=True)[1]]
+        _, first, which = np.unique(np.rec.fromarrays([n[own], s1[own], s2[own]]), return_index=True, return_inverse=True)
+        use, like = own[first], ids.copy()
+        like[own] = ids[use][which]
+        yield at % buckets, 1, pack(ids, n, s1, s2, like)
         if not len(use):
             return
         lows = size_classes(percent, 2 * int(n.max()) + 4)
@@ -147,8 +150,8 @@ def _meet(t: pa.Table) -> pa.Table:
     sigs, docs = [], []
     for kind, blob in zip(t["kind"].to_pylist(), t["blob"].to_pylist(), strict=True):
         if kind == 1:
-            ids, n, s1, s2 = unpack(blob)
-            add(1, ids, None, n, s1, s2)
+            ids, n, s1, s2, like = unpack(blob)
+            add(1, ids, like, n, s1, s2)
         elif kind == 2:
             add(0, *unpack(blob))
         else:
@@ -295,20 +298,24 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     for linking, and each keeps its own n_shingles. A row without id has component null. Empty table: empty result.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    _, buckets = group_counts(docs.count())
+    _, buckets = group_counts(docs)
     met = cut(docs.mapInArrow(_profile(width, percent, buckets), "bucket int, kind int, blob binary").groupBy("bucket").applyInArrow(_meet, PROFILE))
-    profile = met.where("kind = 1").select(F.col("a").alias("doc_id"), "n", "s1", "s2")
-    classes = profile.where(f"n > 0 and doc_id <> {NO_ID}").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
-    copies = profile.join(classes.where("rep < last"), ["n", "s1", "s2"]).where(f"doc_id <> rep and doc_id <> {NO_ID}").select("doc_id", "rep")
-    copies = cut(copies.distinct())
+    profile = cut(met.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("like"), "n", "s1", "s2"))
+    real = profile.where(f"n > 0 and doc_id <> {NO_ID}")
+    # equal sets: within a flush each names its stand-in, so that a class has a row for each flush when the flushes meet
+    stands = real.where("doc_id = like").select("doc_id", "n", "s1", "s2").distinct()
+    classes = stands.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last")
+    across = cut(stands.join(classes, ["n", "s1", "s2"]).where("doc_id <> rep").select("doc_id", "rep"))
+    copies = across.union(real.where("doc_id <> like").select("doc_id", F.col("like").alias("rep")).distinct())
     near = met.where("kind = 0").select("a", "b").distinct()
     # what stands for equal sets; an id with several sets stands for itself, or the links of the others would be lost
     one = F.struct("n", "s1", "s2")
-    several = profile.where(f"n > 0 and doc_id <> {NO_ID}").groupBy("doc_id").agg(F.min(one).alias("x"), F.max(one).alias("y")).where("x <> y").select("doc_id")
-    rep = copies.join(several, "doc_id", "left_anti").groupBy("doc_id").agg(F.min("rep").alias("rep"))
+    several = real.groupBy("doc_id").agg(F.min(one).alias("x"), F.max(one).alias("y")).where("x <> y").select("doc_id")
+    rep = cut(across.join(several, "doc_id", "left_anti").groupBy("doc_id").agg(F.min("rep").alias("rep")))
     for end in ("a", "b"):
         near = near.join(rep.select(F.col("doc_id").alias(end), "rep"), end, "left").withColumn(end, F.coalesce("rep", end)).drop("rep")
     blocks = components(near)
+    discard(met, rep)
     sized = blocks.join(profile.select(F.col("doc_id").alias("node"), "n").distinct(), "node").select(F.col("node").alias("doc_id"), F.col("component").alias("block"), "n")
     sizes = sized.groupBy("block").agg(F.sum("n").alias("size"))
     # linked sets differ little in size: a large block falls into bands of sizes, each set in its own and the next
@@ -316,6 +323,7 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     banded = sized.join(sizes, "block").select("doc_id", "block", "n", F.explode(F.when(F.col("size") > TILE, F.array(band, band + 1)).otherwise(F.array(F.lit(0)))).alias("band"))
     bands = banded.groupBy("block", "band").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
     members = cut(banded.join(bands, ["block", "band"]).select("doc_id", "n", "block", "band", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")))
+    discard(blocks)
     n_members = members.count()
     small = F.broadcast(members) if n_members <= BROADCAST_ROWS else members
     held = docs.join(small, "doc_id").select("doc_id", "n", "block", "band", "tiles", "text").mapInArrow(_set_blobs(width), "doc_id long, n long, block long, band int, tiles int, blob binary")
@@ -326,6 +334,7 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     part = F.pmod(F.xxhash64("block", "band", "i", "j"), F.lit(max(8, n_members // 256)))
     links = held.withColumn("part", part).groupBy("part").applyInArrow(_search(percent), "a long, b long")
     reached = components(links.union(copies.toDF("a", "b")))
+    discard(members, across)
     out = profile.join(reached, F.col("doc_id") == F.col("node"), "left")
     own = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
     return out.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", own).alias("component_id"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkit import WORD_BYTE, U, Chunk, as_bytes, cut, mix, owners, shingles, spans, table
+from .textkit import WORD_BYTE, U, Chunk, as_bytes, cut, mix, owners, positional, shingles, spans, table
 
 WINDOW = 5
 #: The characters counted as symbols.
@@ -22,6 +22,8 @@ SYMBOL_BYTE = np.zeros(256, bool)
 SYMBOL_BYTE[list(SYMBOLS)] = True
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MAX_HOST_RATE = 0.5
+#: Rejected hosts that are broadcast at most (their names); beyond it a host's rows are joined in so many parts.
+BROADCAST_HOSTS, SALTS = 100_000, 64
 
 
 def _measure(texts: list[bytes]) -> list[np.ndarray]:
@@ -64,10 +66,14 @@ def _measure(texts: list[bytes]) -> list[np.ndarray]:
     return [n_words, chars, symbols, dup, repeat]
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the measures beside its own columns (text left out); null or empty texts measure zero everywhere."""
+def measure(docs: DataFrame, text: str = "text", whole: bool = False) -> DataFrame:
+    """docs with the measures beside its own columns; null or empty texts measure zero everywhere.
+
+    The text is left out unless `whole`. Columns of docs named like a measure are replaced.
+    """
     keep = [f for f in docs.schema.fields if f.name != text and f.name not in MEASURES]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), *(f"{m} long" for m in MEASURES)])
+    fields = [*keep, *(docs.schema[text] for _ in range(whole))]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"{m} long" for m in MEASURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -75,7 +81,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             parts = [_measure(texts[i:j]) for i, j in spans(texts)]
             if parts:
                 cols = [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts, strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[*(f.name for f in keep), *MEASURES])
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(fields)], *cols], names=[*(f.name for f in fields), *MEASURES])
 
     return docs.select(*(F.col(f"`{f.name}`") for f in keep), F.col(text)).mapInArrow(run, schema)
 
@@ -95,7 +101,7 @@ def host_rates(measured: DataFrame, host: str) -> DataFrame:
     The prior's mean is the overall rate and its weight follows from the variance of the hosts' rates, weighted by
     documents (at least 1, at most a million documents' worth). Null is a host of its own.
     """
-    hosts = measured.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("f"))
+    hosts = cut(measured.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("f")))
     whole = hosts.agg((F.sum("f") / F.sum("n")).alias("mu"), (F.sum(F.col("f") * F.col("f") / F.col("n")) / F.sum("n")).alias("second"))
     spread = F.col("second") - F.col("mu") * F.col("mu")
     weight = F.least(F.lit(1e6), F.greatest(F.lit(1.0), F.when(spread > 1e-12, F.col("mu") * (1 - F.col("mu")) / spread - 1).otherwise(1e6)))
@@ -149,11 +155,21 @@ from f join r on f.source is not distinct from r.source
 
 
 def kept(docs: DataFrame, host: str = "source", text: str = "text", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The rows of docs that judge() keeps, in docs' own columns, text included; the text never moves."""
-    fields = docs.columns
-    plain = docs.select(F.col(host).alias("__host"), F.col(text).alias("__text"))
-    measured = cut(measure(plain, "__text").withColumn("base_failed", base_failed()).withColumn("failed", any_failed()))
-    rates = host_rates(measured, "__host")
-    whole = measure(docs.withColumn("__text", F.col(text)), "__text").withColumn("base_failed", base_failed())
-    joined = whole.join(rates, whole[host].eqNullSafe(rates["host"]), "left")
-    return joined.where(~F.col("base_failed") & (F.coalesce(F.col("host_rate"), F.lit(0.0)) <= max_host_rate)).select(*(F.col(f"`{c}`") for c in fields))
+    """The rows of docs that judge() keeps, in docs' own columns, whatever their names.
+
+    Null or empty texts and repeated rows are judged as judge() does. Rates are counted on measures alone; rejected hosts
+    are broadcast up to BROADCAST_HOSTS of them, and texts don't move. Beyond that number the rows are joined with them
+    by host and one of SALTS parts, so that a hot host is spread. Empty table: empty result.
+    """
+    plain, (host_, text_) = positional(docs, host, text)
+    bare = measure(plain.select(F.col(host_).alias("host_"), F.col(text_).alias("text")))
+    rates = host_rates(bare.withColumn("base_failed", base_failed()).withColumn("failed", any_failed()), "host_")
+    bad = cut(rates.where(F.col("host_rate") > max_host_rate).select("host"))
+    passed = measure(plain, text_, whole=True).where(~base_failed())
+    if bad.count() <= BROADCAST_HOSTS:
+        left = passed.join(F.broadcast(bad), passed[host_].eqNullSafe(bad["host"]), "left_anti")
+    else:
+        salt = F.pmod(F.xxhash64(text_), F.lit(SALTS)).cast("int")
+        bad = bad.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        left = passed.withColumn("part_", salt).join(bad, passed[host_].eqNullSafe(bad["host"]) & (F.col("part_") == F.col("salt_")), "left_anti")
+    return left.select(*plain.columns).toDF(*docs.columns)

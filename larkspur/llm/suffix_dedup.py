@@ -309,7 +309,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER, doc_id: s
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "gid")
     docs = docs.withColumnsRenamed({doc_id: "doc_id", text: "text"})
     keys = [f for f in docs.schema.fields if f.name != "text"]
-    groups, buckets = group_counts(docs.count())
+    groups, buckets = group_counts(docs)
     # all three uses of the documents have the same columns, so that Spark shuffles the texts once and reads that again
     dealt = docs.withColumn("gid", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
     asked = dealt.groupBy("gid").applyInArrow(_phrases(length, width, buckets), ROWS)

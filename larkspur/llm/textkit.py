@@ -10,6 +10,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -162,27 +163,71 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def group_counts(rows: int) -> tuple[int, int]:
-    """How many groups of documents and how many hash buckets for that many rows.
+def group_counts(docs: DataFrame, text: str = "text") -> tuple[int, int]:
+    """How many groups of documents and how many hash buckets for these documents.
 
-    Each group sends one packed value to each bucket. Buckets grow with the square root of the rows, and a group holds
-    16,384 rows at most, so that both the values' number and a task's memory stay in hand from thousands to billions.
+    Each group sends one packed value to each bucket. Buckets grow with the square root of the rows; a group holds about
+    16,384 rows and 64 MB of text at most, so that both the values' number and a task's memory stay in hand from
+    thousands to billions.
     """
+    rows, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
     root = max(8, math.ceil(math.sqrt(rows) / 4))
-    return max(root, math.ceil(rows / 16384)), root
+    return max(root, math.ceil(rows / 16384), math.ceil(size / (1 << 26))), root
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names the shared folder in spark.checkpoint.dir; one of our own serves only where it is unset."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The cluster names the shared folder in spark.checkpoint.dir; one of our own serves only a local master without it."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir', 'file:/tmp/larkspur')}/_checkpoints")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir', 'file:/tmp/larkspur')}/_checkpoints")
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the jobs run inside go when their query ends. Only for results that nothing reads again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def store(df: DataFrame, path: str) -> DataFrame:
+    """df written as a table to that folder and read from it; the folder goes with the session at the latest."""
+    spark = df.sparkSession
+    with tidy(spark):
+        df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    held = spark.read.schema(df.schema).parquet(path)
+    held.stored_at = path
+    return held
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage: written once to the shared checkpoint folder, read from there by all that follows."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return store(df, f"{ensure_checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}")
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what cut() or store() wrote for these frames; nothing may read them any more."""
+    for df in frames:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def positional(docs: DataFrame, *given: str | None) -> tuple[DataFrame, list[str | None]]:
+    """docs with its columns named by position, so that no name of an operator's own can clash, and what the given
+    names became (the first column of a name counts). Names come back with toDF(*docs.columns)."""
+    own = [f"c{i}_" for i in range(len(docs.columns))]
+    return docs.toDF(*own), [own[docs.columns.index(g)] if g is not None else None for g in given]
 
 
 def fold(doc_id: str = "doc_id"):
