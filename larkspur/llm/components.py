@@ -45,23 +45,20 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest id reachable from each id that occurs in an edge.
 
-    Each task first contracts the edges it has; then large-star and small-star steps alternate. Edges stay in the
+    Each task first contracts the edges it has. Then each round points every edge at the least neighbour of its lower
+    end (large star), deals the edges by their upper end and contracts what meets there (small star). Edges stay in the
     cluster, each round is written to the checkpoint folder in place of the last, and the rounds grow with the logarithm
-    of the longest path. Nodes with many neighbours are minima of partial aggregates and sides of joins that Spark can
-    split. Loops and null ends are ignored; no edges: empty result.
+    of the longest path. The minima are partial aggregates, Spark can split the join's hot keys, and a contracted task
+    passes on one edge a node at most. Loops and null ends are ignored; no edges: empty result.
     """
     big, small = F.greatest(F.col(a), F.col(b)).alias("a"), F.least(F.col(a), F.col(b)).alias("b")
     real = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(big.cast("long"), small.cast("long"))
-    now, state = cut(real.mapInArrow(_forests, "a long, b long").distinct()), None
+    now, state = cut(real.mapInArrow(_forests, "a long, b long")), None
     while (sums := now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()) != state:
         state = sums
         low = now.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("low"))
         large = now.join(low, now["b"] == low["k"], "left").select("a", F.coalesce("low", "b").alias("b"))
-        least = large.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low < high").select("k", "low")
-        joined = large.join(least, large["a"] == least["k"], "left").select("a", "b", "low")
-        both = F.array(F.struct(F.col("a"), F.coalesce("low", "b").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))
-        moved = joined.select(F.explode(both).alias("e")).select("e.*").where("a > b")
-        before, now = now, cut(moved.distinct())
+        before, now = now, cut(large.repartition("a").mapInArrow(_forests, "a long, b long"))
         discard(before)
     out = now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b")).distinct())
     out.stored_at = now.stored_at

@@ -317,13 +317,15 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     blocks = components(near)
     discard(met, rep)
     sized = blocks.join(profile.select(F.col("doc_id").alias("node"), "n").distinct(), "node").select(F.col("node").alias("doc_id"), F.col("component").alias("block"), "n")
-    sizes = sized.groupBy("block").agg(F.sum("n").alias("size"))
+    large = cut(sized.groupBy("block").agg(F.sum("n").alias("size")).where(F.col("size") > TILE))
+    n_large = large.count()
     # linked sets differ little in size: a large block falls into bands of sizes, each set in its own and the next
     band = F.floor(F.ln("n") / F.lit(math.log(100 / (percent - 1)))).cast("int")
-    banded = sized.join(sizes, "block").select("doc_id", "block", "n", F.explode(F.when(F.col("size") > TILE, F.array(band, band + 1)).otherwise(F.array(F.lit(0)))).alias("band"))
+    banded = sized.join(F.broadcast(large) if n_large <= BROADCAST_ROWS else large, "block", "left") if n_large else sized.withColumn("size", F.lit(0))
+    banded = banded.select("doc_id", "block", "n", F.explode(F.when(F.col("size") > TILE, F.array(band, band + 1)).otherwise(F.array(F.lit(0)))).alias("band"))
     bands = banded.groupBy("block", "band").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
     members = cut(banded.join(bands, ["block", "band"]).select("doc_id", "n", "block", "band", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")))
-    discard(blocks)
+    discard(blocks, large)
     n_members = members.count()
     small = F.broadcast(members) if n_members <= BROADCAST_ROWS else members
     held = docs.join(small, "doc_id").select("doc_id", "n", "block", "band", "tiles", "text").mapInArrow(_set_blobs(width), "doc_id long, n long, block long, band int, tiles int, blob binary")

@@ -101,8 +101,8 @@ def sized(docs: DataFrame, text: str = "text", width: int = NEAR_WIDTH, percent:
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(plain))
     near = linked(docs.select(key.alias("doc_id"), F.lower(text).alias("text")), width=width, percent=percent)
     near = near.where("n_shingles > 0").groupBy(F.col("doc_id").alias("key_")).agg(F.min("component_id").alias("near_"))
-    rows = docs.select("doc_id", "source", words.alias("size"), F.xxhash64(plain).alias("plain_"), key.alias("key_"))
-    return rows.join(near, "key_", "left").select("doc_id", "source", "size", F.coalesce("near_", "plain_").alias("cluster"))
+    rows = docs.select("doc_id", "source", words.alias("size"), key.alias("key_"))
+    return rows.join(near, "key_", "left").select("doc_id", "source", "size", F.coalesce("near_", F.xxhash64(F.lit(""))).alias("cluster"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
