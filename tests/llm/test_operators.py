@@ -259,25 +259,7 @@ def test_best_fit_is_the_tightest_compatible_bin():
         bins[want]["c"].add(cluster)
 
 
-# 5
-
-
-def test_block_max_search_is_exact():
-    rng = np.random.default_rng(1)
-    vectors = []
-    for _ in range(500):
-        p = np.unique(rng.integers(0, 40, rng.integers(0, 6)))
-        w = rng.random(len(p))
-        vectors.append((p, w / max(np.linalg.norm(w), 1e-12)))
-    index = toxicity.BlockMaxIndex(vectors, 40)
-    dense = np.zeros((500, 40))
-    for i, (p, w) in enumerate(vectors):
-        dense[i, p] = w
-    for p, w in vectors[:80]:
-        if len(p):
-            cosine = dense[:, p] @ w
-            want = np.sort(cosine[cosine > 0])[::-1][:25]
-            assert np.allclose(index.nearest(p, w, 25)[1], want)
+# 5: the search and the scores are held in test_toxic_search.py
 
 
 def test_toxicity(spark, odd, empty):
