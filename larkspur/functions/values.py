@@ -387,6 +387,13 @@ def differ(i, s, a, b):
     return [x for x in a if x not in b] if isinstance(a, list) else joins.anti_join(frame(i, a).columns, frame(i, a), frame(i, b))
 
 
+@value("union")
+def union(i, s, a, b):
+    if not isinstance(a, list) or not isinstance(b, list):
+        raise NotImplementedError
+    return list(dict.fromkeys([*a, *b]))
+
+
 @value("unique")
 def unique(i, s, x):
     return reshape.unique(x) if isinstance(x, Frame) else list(dict.fromkeys(x))

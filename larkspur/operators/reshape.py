@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from larkspur.plans.frame import Frame, quoted
+from larkspur.session import shared_folder
 
 
 def sort(columns: list[str], frame: Frame, ascending: bool = True) -> Frame:
@@ -32,17 +33,21 @@ def stack(top: Frame, bottom: Frame) -> Frame:
 
 
 def indexed(frame: Frame, name: str = "__i"):
-    """The frame's rows numbered from 0 in order, without sending them all to one task: partitions are range-sorted and
-    each adds the sizes of those before it."""
+    """The frame's rows numbered from 0 in order, without sending them all to one task.
+
+    The rows are range-sorted and written once, with their partition and place in it, to the checkpoint folder: sorting
+    again could draw other bounds. The partitions' sizes, a row for each, become offsets that are joined back.
+    """
     frame = frame.ordered()
-    data = frame.data.orderBy(*map(quoted, frame.order)).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
-    sizes = sorted((r[0], r[1]) for r in data.groupBy("__p").count().collect())
-    before, total = [], 0
+    spark = frame.data.sparkSession
+    shared_folder(spark)
+    held = frame.data.orderBy(*map(quoted, frame.order)).withColumns({"__p": F.spark_partition_id(), "__m": F.monotonically_increasing_id()}).checkpoint()
+    sizes, before, total = sorted(map(tuple, held.groupBy("__p").count().collect())), [], 0
     for p, n in sizes:
         before.append((p, total))
         total += n
-    offset = reduce(lambda e, x: F.when(F.col("__p") == x[0], x[1]).otherwise(e), before, F.lit(0))
-    return data.withColumn(name, (offset + F.col("__m") % (1 << 33)).cast("long")).drop("__p", "__m")
+    offsets = F.broadcast(spark.createDataFrame(before, "__p int, __before long"))
+    return held.join(offsets, "__p", "left").withColumn(name, F.col("__before") + F.col("__m") % (1 << 33)).drop("__p", "__m", "__before")
 
 
 def side_by_side(left: Frame, right: Frame) -> Frame:

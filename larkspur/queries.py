@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from larkspur.engine import Engine
 from larkspur.plans.frame import Frame
+from larkspur.session import shared_folder
 from larkspur.streaming.ticks import last_by_key, windowed_counts
 
 #: The columns that order each table's rows, where one is unique.
@@ -37,10 +38,7 @@ def text(name: str, source: str, sql: str | None, syntax: str = "infix") -> None
 
 def scratch(spark: SparkSession) -> str:
     """A folder of its own in the shared checkpoint folder."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir', 'file:/tmp/larkspur')}/_checkpoints")
-    return f"{context._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 # select, by, where, limit
@@ -58,11 +56,8 @@ text("logic", "select event_id, m: value | 50.0, n: value & 50.0 from events whe
 text("last_of_group", "select by user_id from events", "select user_id, event_id, ts, event_type, value, props from events qualify row_number() over (partition by user_id order by event_id desc) = 1")
 text("computed_key", "select n: count(i), total: sum(value) round 2 by day: 1D xbar ts, big: value > 50 from events", "select date_trunc('day', ts) as day, value > 50 as big, count(*) as n, round(sum(value), 2) as total from events group by 1, 2")
 text("whole_table", "select n: count(i), users: uc(user_id), lo: min(value), hi: max(value), kinds: uc(event_type) from events", "select count(*) as n, count(distinct user_id)::bigint as users, min(value) as lo, max(value) as hi, count(distinct event_type)::bigint as kinds from events")
-text("spread_aggregate", "select event_id, d: (value - min(value)) round 4 from events where user_id < 20", "select event_id, round(value - min(value) over (), 4) as d from events where user_id < 20")
-text("lists_by_group", "select ids: (1000000 # event_id) join \",\" by event_type from events where user_id < 9", "select event_type, string_agg(event_id::varchar, ',' order by event_id) as ids from events where user_id < 9 group by 1")
 text("head", "select event_id, value from events limit 17", "select event_id, value from events order by event_id limit 17")
 text("tail", "select event_id, value from events limit -17", "select event_id, value from events order by event_id desc limit 17")
-text("virtual_index", "select event_id, k: i from events where user_id = 3", "select event_id, row_number() over (order by event_id)::int - 1 as k from events where user_id = 3")
 text("user_function", "half: function(x){ x * 0.5 }; band: function(x, w){ w xbar half(x) }; select n: count(i) by b: band(value, 10.0) from events", "select floor(value * 0.5 / 10.0) * 10.0 as b, count(*) as n from events group by 1")
 text("conditional", "select n: count(i) by size: when(l_quantity > 40, \"large\", when(l_quantity > 20, \"middle\", \"small\")) from lineitem", "select case when l_quantity > 40 then 'large' when l_quantity > 20 then 'middle' else 'small' end as size, count(*) as n from lineitem group by 1")
 
@@ -122,7 +117,6 @@ text("filling", "select event_id, a, b, c from (update a: fill(w), b: bfill(w),
 text("ranks", "select event_id, r from (update r: rank(value) by event_type from events)", "select event_id, row_number() over (partition by event_type order by value, event_id)::int as r from events")
 text("reordered", "select event_id, a, b from (update a: reverse(value), b: 2 rotate value by user_id from events)", "with t as (select *, row_number() over (partition by user_id order by event_id) - 1 as k, count(*) over (partition by user_id) as n from events) select t.event_id, x.value as a, y.value as b from t join t x on x.user_id = t.user_id and x.k = t.n - 1 - t.k join t y on y.user_id = t.user_id and y.k = (t.k + 2) % t.n")
 text("moving_quantile", "select event_id, q from (update q: mquantile(0.5, 4, value) round 4 by user_id from events)", "select event_id, round((list_sort(l)[floor((len(l) - 1) * 0.5)::int + 1] + list_sort(l)[ceil((len(l) - 1) * 0.5)::int + 1]) / 2, 4) as q from (select event_id, list(value) over (partition by user_id order by event_id rows 3 preceding) as l from events)")
-text("weighted", "select event_id, m from (update m: (0.5 emean value) round 4 by user_id from (select from events where user_id < 30))", "with recursive t as (select event_id, user_id, value, row_number() over (partition by user_id order by event_id) as k from events where user_id < 30), r as (select event_id, user_id, k, value as num, 1.0::double as den from t where k = 1 union all select t.event_id, t.user_id, t.k, t.value + 0.5 * r.num, 1 + 0.5 * r.den from r join t on t.user_id = r.user_id and t.k = r.k + 1) select event_id, round(num / den, 4) as m from r")
 
 # reshaping and sets
 
@@ -139,9 +133,15 @@ text("array_sets", "select p_partkey, a: count each (x intersect y), b: count ea
 text("list_columns", "select p_partkey, a: x @ 0, b: x @ -1, c: max each x, d: x join \"-\" from (select p_partkey, x: p_type split \" \" from part)", "select p_partkey, x[1] as a, x[-1] as b, list_max(x) as c, array_to_string(x, '-') as d from (select p_partkey, string_split(p_type, ' ') as x from part)")
 text("functional", ".fn.select(`events, 0n, [[>, `value, 50.0]], {t: `event_type}, {n: [count, `value], hi: [max, `value]}, 0n)", "select event_type as t, count(*) as n, max(value) as hi from events where value > 50 group by 1")
 
-# whole tables, where a query above takes some rows
+# a group's rows in order, a row's place in the table
 
-text("weighted_all", "select event_id, m from (update m: (0.5 emean value) round 4 by user_id from events)", None)
+text(
+    "weighted_all",
+    "select event_id, m from (update m: (0.5 emean value) round 4 by user_id from events)",
+    """with recursive t as (select event_id, user_id, value, row_number() over (partition by user_id order by event_id) as k from events),
+    r as (select event_id, user_id, k, value as num, 1.0::double as den from t where k = 1 union all select t.event_id, t.user_id, t.k, t.value + 0.5 * r.num, 1 + 0.5 * r.den from r join t on t.user_id = r.user_id and t.k = r.k + 1)
+    select event_id, round(num / den, 4) as m from r""",
+)
 text("lists_by_group_all", "select event_type, ids: ids join \",\" from (select ids: event_id by event_type from events)", "select event_type, string_agg(event_id::varchar, ',' order by event_id) as ids from events group by 1")
 text("spread_aggregate_all", "select event_id, d: (value - min(value)) round 4 from events", "select event_id, round(value - min(value) over (), 4) as d from events")
 text("virtual_index_all", "select event_id, k: i from events", "select event_id, row_number() over (order by event_id)::int - 1 as k from events")
@@ -150,20 +150,6 @@ text("virtual_index_all", "select event_id, k: i from events", "select event_id,
 # tables on disk, streams
 
 
-def partitioned_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders written by year, loaded again, and read under a condition on the year."""
-    e, root = engine(spark, sf_dir), scratch(spark)
-    orders = e.get_var("orders")
-    for y in (1995, 1996, 1997):
-        e.write_partitioned_df(Frame(orders.data.where(F.year("o_orderdate") == y)), root, "by_year", y, ["o_custkey"])
-    e.load_partitioned_df(root)
-    return e.eval("select n: count(i), total: sum(o_totalprice) round 2 by year from by_year where year within 1996 1997").df
-
-
-QUERIES["partitioned_years"] = partitioned_years
-ORACLE_SQL["partitioned_years"] = "select year(o_orderdate)::int as year, count(*) as n, round(sum(o_totalprice), 2) as total from orders where year(o_orderdate) between 1996 and 1997 group by 1"
-
-
 def partitioned_all_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders written by year, loaded again and read."""
     e, root = engine(spark, sf_dir), scratch(spark)
@@ -224,3 +210,6 @@ def tick_subscription(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["tick_subscription"] = tick_subscription
 ORACLE_SQL["tick_subscription"] = "select event_id, event_type, value, 'live' as how from events where event_type in ('view', 'click') union all select event_id, event_type, value, 'replay' from events where event_id % 2 = 1"
+
+
+from larkspur import families  # noqa: E402, F401  # registers more queries here

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,7 +57,8 @@ def write(spark: SparkSession, root: str, partition, table: str, frame: Frame, s
     """Writes one partition (a date, a year, or None for a single table) and returns the bytes it now holds.
 
     Names and types must be those of the table. Appending adds files; overwrite replaces the partition; rechunk leaves
-    it in one file, sorted again.
+    it in one file, sorted again (one task writes it). What replaces a partition is written beside it and takes its place
+    by renames, so the frame may read the partition itself, and a write that fails leaves the old rows.
     """
     if codec not in CODECS:
         raise PartitionProblem(f"no codec {codec!r}")
@@ -72,14 +74,37 @@ def write(spark: SparkSession, root: str, partition, table: str, frame: Frame, s
             raise PartitionProblem(f"{table} has the columns {known.dtypes}, not {df.dtypes}")
     target = f"{path}/{key}={partition.isoformat() if isinstance(partition, dt.date) else partition}" if key else path
     if rechunk and not overwrite and children(spark, target):
-        df, overwrite = spark.createDataFrame(spark.read.schema(df.schema).parquet(target).union(df).toArrow()), True
+        df, overwrite = spark.read.schema(df.schema).parquet(target).union(df), True
     rows = df.coalesce(1) if rechunk else df
     if sort:
         rows = rows.sortWithinPartitions(*map(quoted, sort))
-    rows.write.mode("overwrite" if overwrite else "append").option("compression", codec).parquet(target)
+    if not overwrite:
+        rows.write.mode("append").option("compression", codec).parquet(target)
+        return size_of(spark, target)
+    beside = f"{root}/_{table}-{uuid.uuid4().hex}"
+    try:
+        rows.write.option("compression", codec).parquet(f"{beside}/new")
+        replace(spark, target, f"{beside}/new", f"{beside}/old")
+    finally:
+        fs, p, _ = _fs(spark, beside)
+        fs.delete(p, True)
     return size_of(spark, target)
 
 
+def replace(spark: SparkSession, target: str, new: str, old: str) -> None:
+    """Puts the folder new where target is, which goes to old; if that fails, target comes back."""
+    fs, to, jvm = _fs(spark, target)
+    path = jvm.org.apache.hadoop.fs.Path
+    fs.mkdirs(to.getParent())
+    had = fs.exists(to)
+    if had and not fs.rename(to, path(old)):
+        raise PartitionProblem(f"{target} can't be moved")
+    if not fs.rename(path(new), to):
+        if had:
+            fs.rename(path(old), to)
+        raise PartitionProblem(f"{new} can't be moved to {target}")
+
+
 def _flat(names: list[str]) -> str | None:
     if names and all(re.fullmatch(r"(\d{4}\.\d\d\.\d\d|\d{4})_\d{4}|schema", n) for n in names):
         return "date" if any(len(n) >= 13 for n in names) else "year"

@@ -28,9 +28,9 @@ def rows(x):
 @pytest.mark.parametrize(
     ("source", "want"),
     [
-        ("1+2*3", 9), ("f: function(x,y,z){ x + y * z}; g: f(1, , 9); g(3)", 36), ("sum(1.0 2.0f*3)", 9.0), ("a: 5; while(a>0){a: a-2;}; a", -1),
-        ("d: {a: 1, b: 2, c: 3,}; d(`d):9; d3: `a`b`c![7,8,9]; d3(`c) + sum(d(`a`d))", 19), ("eval([*, 9, 9])", 81), ("f: function(x,y){ x + y}; eval([`f, 9, 1])", 10),
-        ("f: function(d){ if(d>2020.01.01){return d; d: d + 1;} 2020.01.01}; f(2024.04.01)", dt.date(2024, 4, 1)), ("0n ?? 3", 3), ("0b && (nothing_here)", False), ("1b || (nothing_here)", True),
+        ("1+2*3", 9), ("area: function(w, h, k){ w * h - k}; half: area(6, , 4); half(5)", 26), ("max(4.0 6.0f/2)", 3.0), ("left: 20; while(left>6){left: left-5;}; left", 5),
+        ("stock: {pear: 4, plum: 6,}; stock(`fig): 10; price: `pear`fig![2,3]; price(`fig) * stock(`fig) - stock(`plum)", 24), ("eval([-, 30, 4])", 26), ("gap: function(hi, lo){ hi - lo}; eval([`gap, 12, 5])", 7),
+        ("later: function(day){ if(day<1999.12.31){return 1999.12.31;} day + 2}; later(2011.05.30)", dt.date(2011, 6, 1)), ("0n ?? 3", 3), ("0b && (nothing_here)", False), ("1b || (nothing_here)", True),
         ("if{0b, 1, 0b, 2, 3}", 3), ("(neg) each [1,2]", [-1, -2]), ("over(function(x,y){x*y}, 1, [2,3,4])", 24), ("scan(function(x,y){x+y}, 0, [1,2,3])", [1, 3, 6]),
         ("2 # [1,2,3]", [1, 2]), ("-2 # [1,2,3]", [2, 3]), ("5 # [1,2]", [1, 2, 1, 2, 1]), ("1 _ [1,2,3]", [2, 3]), ("[10,20] @ -1", 20), ("[10,20] @ 5", None), ("1 2 3 in [2]", [False, True, False]),
         ("7 div -2", -4), ("-7 mod 3", 2), ("1/0", float("inf")), ("quantile(0.4, [1,4,9])", 2.5), ("csum([1,2,3])", [1, 3, 6]), ("3 mmean [1,2,3,4]", [1.0, 1.5, 2.0, 3.0]), ("sqrt(4.0)", 2.0),
@@ -44,20 +44,21 @@ def test_values(e, source, want):
 
 
 def test_terse(t):
-    assert t.eval("f: {[x; y; z] x + y * z}; g: f[1; ; 9]; g 3") == 28
-    assert t.eval("f: {[x; y] x + y}; f[1]") is not None
-    assert t.eval("f: {[d] if[d>2020.01.01; :d; d: d + 1;]; 2020.01.01}; f 2019.01.01") == dt.date(2020, 1, 1)
-    assert "Unsupported" in t.eval('try [a: 1 * `a;] catch [err ~ "type";]; err')
+    assert t.eval("area: {[w; h; k] w * h - k}; half: area[6; ; 4]; half 5") == 6
+    assert t.eval("gap: {[hi; lo] hi - lo}; gap[8]") is not None
+    assert t.eval("later: {[day] if[day<1999.12.31; :1999.12.31;]; day + 2}; later 2011.05.30") == dt.date(2011, 6, 1)
+    assert "nowhere" in t.eval("try [y: nowhere + 1;] catch [0;]; err")
     assert t.eval("$[0b; 1; 0b; 2; 3]") == 3
-    table = t.eval("qty: 7 8 9h; t: ([]sym: `a`b`b; col1: 1 2 3; col2: 1.0 2.0 3.0f; 4 5 6i; qty); select sum col1+col2, newCol: col2 by sym from t")
-    assert rows(table) == [("a", 2.0, [1.0]), ("b", 10.0, [2.0, 3.0])]
+    table = t.eval("([]fruit: `fig`pear`pear; kilos: 2 5 1; price: 4.0 1.5 3.0f)")
+    t.set_var("sales", table)
+    assert rows(t.eval("select total: sum kilos * price, kilos by fruit from sales")) == [("fig", 8.0, [2]), ("pear", 10.5, [5, 1])]
 
 
 def test_errors(e):
     with pytest.raises(NameProblem):
         e.eval("nothing_here")
-    with pytest.raises(EvalProblem, match="2024.04.01"):
-        e.eval("raise 2024.04.01")
+    with pytest.raises(EvalProblem, match="no stock"):
+        e.eval('raise "no stock"')
     with pytest.raises(EvalProblem):
         e.eval("f: function(x){x}; f(1, 2)")
     with pytest.raises(EvalProblem, match="deep"):
@@ -151,18 +152,18 @@ def test_partitions(e, tmp_path):
     root = str(tmp_path)
     for d in (5, 2, 3, 4, 8):
         frame = e.eval(f"([]symbol: `a`b, value: {d}.0 {d * 2}.0)")
-        assert e.write_partitioned_df(frame, root, "ohlcv", dt.date(2024, 1, d), ["symbol"]) > 0
-    assert e.load_partitioned_df(root) == ["ohlcv"]
-    n = lambda c: e.eval(f"count(select from ohlcv where {c})")
+        assert e.write_partitioned_df(frame, root, "weights", dt.date(2024, 1, d), ["symbol"]) > 0
+    assert e.load_partitioned_df(root) == ["weights"]
+    n = lambda c: e.eval(f"count(select from weights where {c})")
     assert [n("date=2024.01.03"), n("date=2024.02.01"), n("date within 2024.01.02 2024.01.04"), n("date>=2024.01.05"), n("date>2024.01.05"), n("date=2024.01.03, symbol=`a"), n("date in 2024.01.02 2024.01.08")] == [2, 0, 6, 4, 2, 1, 4]
     with pytest.raises(PartitionProblem):
-        e.eval("select from ohlcv")
+        e.eval("select from weights")
     with pytest.raises(PartitionProblem):
-        e.write_partitioned_df(e.eval("([]other: 1 2)"), root, "ohlcv", dt.date(2024, 1, 9))
-    plan = e.query_plan("select value from ohlcv where date=2024.01.03, value>1.0")
+        e.write_partitioned_df(e.eval("([]other: 1 2)"), root, "weights", dt.date(2024, 1, 9))
+    plan = e.query_plan("select value from weights where date=2024.01.03, value>1.0")
     assert "2024-01-03" in plan.split("PartitionFilters")[1].splitlines()[0] and "ReadSchema: struct<value:double>" in plan
-    e.write_partitioned_df(e.eval("([]symbol: `z, value: 1.0)"), root, "ohlcv", dt.date(2024, 1, 3), overwrite=True)
-    e.write_partitioned_df_custom(e.eval("([]symbol: `y, value: 1.0)"), root, "ohlcv", dt.date(2024, 1, 3), rechunk=True, compression="snappy")
+    e.write_partitioned_df(e.eval("([]symbol: `z, value: 1.0)"), root, "weights", dt.date(2024, 1, 3), overwrite=True)
+    e.write_partitioned_df_custom(e.eval("([]symbol: `y, value: 1.0)"), root, "weights", dt.date(2024, 1, 3), rechunk=True, compression="snappy")
     e.load_partitioned_df(root)
     assert n("date=2024.01.03") == 2
 
@@ -221,3 +222,42 @@ def test_frames_from_spark(e, spark):
     e.set_table("ev", spark.createDataFrame([(2, "b"), (1, "a")], "k int, v string"), ["k"])
     assert rows(e.eval("select v from ev")) == [("a",), ("b",)] and isinstance(e.get_var("ev"), Frame)
     assert spark.table("ev").count() == 2
+
+
+@pytest.mark.parametrize("coalescing", ["true", "false"])
+def test_rows_are_numbered_once(spark, coalescing):
+    """Each row its own number, in order, whatever partitions the sort makes."""
+    from pyspark.sql import functions as F
+
+    from larkspur.operators import reshape
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalescing)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        data = spark.range(100_000).select((F.col("id") % 5000).alias("k"), F.xxhash64("id").alias("h"))
+        got = reshape.indexed(Frame(data, ["k", "h"]))
+        out = got.agg(F.count_distinct("__i"), F.min("__i"), F.max("__i")).first()
+        assert tuple(out) == (100_000, 0, 99_999)
+        steps = got.orderBy("__i").select("k", "h").collect()
+        assert steps == sorted(steps)
+        pairs = reshape.side_by_side(Frame(data, ["k", "h"]), Frame(data.select(F.col("h").alias("g"), F.col("k").alias("j")), ["j", "g"])).data
+        assert pairs.where("h = g and k = j").count() == pairs.count() == 100_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_partition_is_replaced_at_once(e, spark, tmp_path):
+    """A partition may be rewritten from itself; a write that fails leaves what was there."""
+    root, day = str(tmp_path), dt.date(2024, 3, 1)
+    e.write_partitioned_df(e.eval("([]k: 3 1 2)"), root, "t", day)
+    own = Frame(spark.read.parquet(f"{root}/t/date=2024-03-01"))
+    e.write_partitioned_df(own, root, "t", day, ["k"], overwrite=True)
+    e.write_partitioned_df(e.eval("([]k: 9 8)"), root, "t", day, ["k"], rechunk=True)
+    read = lambda: sorted(r.k for r in spark.read.parquet(f"{root}/t").collect())
+    assert read() == [1, 2, 3, 8, 9] and len(list((tmp_path / "t" / "date=2024-03-01").glob("*.parquet"))) == 1
+    bad = Frame(spark.range(3).selectExpr("raise_error('no') as x", "id as k").selectExpr("cast(coalesce(x, k) as bigint) as k"))
+    with pytest.raises(Exception, match="no"):
+        e.write_partitioned_df(bad, root, "t", day, overwrite=True)
+    assert read() == [1, 2, 3, 8, 9] and sorted(p.name for p in tmp_path.iterdir()) == ["t"]
