@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import itertools
 import unicodedata
 from collections.abc import Iterator
 
@@ -19,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkit import as_bytes, spans, table
+from .textkit import Chunk, as_bytes, spans, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CACHE_PIECES = 200_000
+CACHE_PIECES = 150_000
+#: Longer pieces are merged singly, with a heap.
+SIDE_BY_SIDE = 64
 #: Code point classes, and the symbols the automaton reads.
 LETTER, NUMBER, OTHER, SPACE, DOCUMENT = range(5)
 S_LETTER, S_NUMBER, S_OTHER, S_SHORT, S_LONG, S_INNER, S_LAST, S_BLANK, S_DOCUMENT = range(9)
@@ -31,12 +34,27 @@ IN_LETTER, IN_NUMBER, IN_OTHER, IN_SPACE, BLANK, ONE, TWO, ENDED = range(8)
 #: Code points that count as white space, and what may follow an apostrophe in a contraction.
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SHORT, LONG = "stmd", ("re", "ve", "ll")
+#: Letters and numbers that Unicode 16.0 has beyond 15.1 (first and last of each range), and how many letters
+#: and numbers 16.0 has.
+LETTERS_16 = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NUMBERS_16 = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+N_LETTERS, N_NUMBERS = 141_028, 1_911
 
 
 @functools.cache
 def classes() -> np.ndarray:
+    """Each code point's class in Unicode 16.0, whether Python knows 15.1 or 16.0; with any other it raises."""
     kinds = {"L": LETTER, "N": NUMBER}
     out = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+    for kind, ranges in ((LETTER, LETTERS_16), (NUMBER, NUMBERS_16)):
+        for first, last in ranges:
+            out[first : last + 1] = kind
+    if ((out == LETTER).sum(), (out == NUMBER).sum()) != (N_LETTERS, N_NUMBERS):
+        raise RuntimeError(f"letters of Unicode {unicodedata.unidata_version} are not those of 16.0")
     out[WHITE] = SPACE
     return np.append(out, np.uint8(DOCUMENT))
 
@@ -111,23 +129,58 @@ def piece_starts(points: np.ndarray) -> np.ndarray:
     return starts[np.append(np.uint8(ENDED), state[:-1]), symbol]
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
-    """The ids of one piece: of all neighbours the pair of least rank is joined, the leftmost first, until none is left."""
-    if (whole := ranks.get(piece)) is not None:
-        return (whole,)
-    if len(piece) > 64:
-        return _merge_long(piece, ranks)
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    pair = [ranks.get(parts[i] + parts[i + 1], 1 << 30) for i in range(len(parts) - 1)]
-    while pair and (least := min(pair)) < 1 << 30:
-        i = pair.index(least)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pair[i]
-        if i:
-            pair[i - 1] = ranks.get(parts[i - 1] + parts[i], 1 << 30)
-        if i < len(pair):
-            pair[i] = ranks.get(parts[i] + parts[i + 1], 1 << 30)
-    return tuple(ranks[p] for p in parts)
+class Pairs:
+    """The rank of each two neighbouring tokens whose bytes together are a token, as one sorted array of pairs."""
+
+    NONE = np.int32(1 << 30)
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        found = {ranks[t[:i]] << 32 | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        self.keys = np.array(sorted(found), np.int64)
+        self.rank = np.array([found[k] for k in self.keys.tolist()], np.int32)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(a.shape, self.NONE)
+        key = a.astype(np.int64) << 32 | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.rank[at], self.NONE)
+
+
+def merge_many(pieces: list[bytes], pairs: Pairs) -> list[list[int]]:
+    """The ids of pieces of like lengths, all merged side by side: in each step every piece joins its pair of least rank,
+    the leftmost first, until it has none."""
+    n = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    wide = int(n.max())
+    inside = np.arange(wide) < n[:, None]
+    tokens = np.full((len(pieces), wide + 1), -1, np.int32)
+    tokens[:, :wide][inside] = pairs.single[np.frombuffer(b"".join(pieces), np.uint8)]
+    rank = pairs(tokens[:, :-1], tokens[:, 1:])
+    out: list[list[int]] = [[]] * len(pieces)
+    live = np.arange(len(pieces))
+    columns = np.arange(wide)
+    while len(live):
+        at = rank.argmin(1)
+        rows = np.arange(len(live))
+        least = rank[rows, at]
+        ended = least == Pairs.NONE
+        for i, t, k in zip(live[ended].tolist(), tokens[ended].tolist(), (tokens[ended] >= 0).sum(1).tolist(), strict=True):
+            out[i] = t[:k]
+        if ended.any():
+            live, tokens, rank, at, least = (x[~ended] for x in (live, tokens, rank, at, least))
+            rows = rows[: len(live)]
+        tokens[rows, at] = least
+        after = columns + (columns > at[:, None])
+        tokens[:, :wide] = np.take_along_axis(tokens, after, 1)
+        tokens[:, wide] = -1
+        rank = np.take_along_axis(rank, np.minimum(after, wide - 1), 1)
+        rank[rows, at] = pairs(tokens[rows, at], tokens[rows, at + 1])
+        before = np.maximum(at - 1, 0)
+        rank[rows, before] = np.where(at > 0, pairs(tokens[rows, before], tokens[rows, before + 1]), rank[rows, before])
+        keep = max(1, int((tokens >= 0).sum(1).max())) if len(live) else 1
+        tokens, rank, columns, wide = tokens[:, : keep + 1], rank[:, :keep], columns[:keep], keep
+    return out
 
 
 def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
@@ -156,10 +209,12 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
 
 
 class Codec:
-    """A rank table with a bounded cache of merged pieces."""
+    """A rank table with a bounded cache of merged pieces: what is used again outlives the cache's turn."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.cache = ranks, {}
+        self.ranks, self.pairs = ranks, Pairs(ranks)
+        self.cache: dict[bytes, tuple[int, ...] | list[int]] = {}
+        self.older = self.cache
         size = max(ranks.values(), default=-1) + 1
         tokens = [b""] * size
         for t, r in ranks.items():
@@ -168,10 +223,32 @@ class Codec:
         self.begins = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(tokens), np.uint8)
 
-    def encode(self, texts: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of each text."""
+    def ids_of(self, pieces: list[bytes]) -> list:
+        """The ids of each piece; those not in the cache are merged together, by length."""
+        if len(self.cache) + len(pieces) > CACHE_PIECES:
+            self.cache, self.older = {}, self.cache
+        cache, older, ranks = self.cache, self.older, self.ranks
+        new: dict[int, list[bytes]] = {}
+        for p in pieces:
+            if p not in cache:
+                if (got := older.get(p)) is not None:
+                    cache[p] = got
+                elif (whole := ranks.get(p)) is not None:
+                    cache[p] = (whole,)
+                elif len(p) <= SIDE_BY_SIDE:
+                    new.setdefault(len(p).bit_length(), []).append(p)
+        for like in new.values():
+            for i in range(0, len(like), 4096):
+                cache |= zip(like[i : i + 4096], merge_many(like[i : i + 4096], self.pairs), strict=True)
+        return [cache[p] if p in cache else _merge_long(p, ranks) for p in pieces]
+
+    def encode_flat(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and where each text's begin (one entry more than texts).
+
+        Pieces are told apart by hash, each distinct one is merged once, and every piece's bytes are held against those
+        of the one that stands for it.
+        """
         points, begins = [], np.cumsum([0, *(len(t) for t in texts)])
-        out: list = []
         whole = b"".join(texts)
         for t in texts:
             points += [np.array([0x110000], np.uint32), np.frombuffer(t.decode("utf-8").encode("utf-32-le"), np.uint32)]
@@ -181,25 +258,28 @@ class Codec:
         is_doc = cp == 0x110000
         width[is_doc] = 0
         at = np.cumsum(width) - width
-        cuts = at[flags & ~is_doc]
-        edges = np.searchsorted(cuts, begins)
-        ends = np.append(cuts[1:], len(whole)).tolist()
-        cuts = cuts.tolist()
-        cache, ranks = self.cache, self.ranks
-        for d in range(len(texts)):
-            ids: list[int] = []
-            for a, b in zip(cuts[edges[d] : edges[d + 1]], ends[edges[d] : edges[d + 1]], strict=True):
-                piece = whole[a:b]
-                got = cache.get(piece)
-                if got is None:
-                    if len(cache) >= CACHE_PIECES:
-                        cache.clear()
-                    got = merge(piece, ranks)
-                    if len(piece) <= 64:
-                        cache[piece] = got
-                ids += got
-            out.append(ids)
-        return out
+        starts = at[flags & ~is_doc]
+        if not len(starts):
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        ends = np.append(starts[1:], len(whole))
+        chunk = Chunk([whole])
+        _, first, which = np.unique(chunk.hash(starts, ends), return_index=True, return_inverse=True)
+        stand, size = starts[first][which], ends - starts
+        off = np.arange(len(whole)) - np.repeat(starts, size)
+        if (ends[first][which] - stand != size).any() or (chunk.buf[np.repeat(stand, size) + off] != chunk.buf[: len(whole)]).any():
+            first, which = np.arange(len(starts)), np.arange(len(starts))  # two pieces of one hash
+        found = self.ids_of([whole[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(n.sum()))
+        count = n[which]
+        stop = np.cumsum(count)
+        ids = flat[np.arange(int(stop[-1])) + np.repeat((np.cumsum(n) - n)[which] - (stop - count), count)]
+        return ids, np.append(0, stop)[np.searchsorted(starts, begins)]
+
+    def encode(self, texts: list[bytes]) -> list[list[int]]:
+        """Ids of each text."""
+        flat, edges = self.encode_flat(texts)
+        return [flat[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         lengths = self.lengths[ids]
@@ -255,10 +335,8 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         for b in batches:
             texts = as_bytes(b.column(b.num_columns - 1))
             for i, j in spans(texts):
-                ids = codec.encode(texts[i:j])
-                sizes = np.fromiter(map(len, ids), np.int64, j - i)
-                edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                flat = np.fromiter((x for r in ids for x in r), np.int32, int(edges[-1]))
+                flat, edges = codec.encode_flat(texts[i:j])
+                sizes, edges = np.diff(edges), edges.astype(np.int32)
                 lengths = codec.lengths[flat]
                 offsets = np.cumsum(lengths) - lengths
                 offsets -= np.repeat(np.append(offsets, 0)[np.minimum(edges[:-1], len(offsets))], sizes)

@@ -10,10 +10,11 @@ calibrated on the examples themselves, each left out of its own search.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .textkit import TERM_BYTE, U, Chunk, as_bytes, cut, fold, owners, pack, spans, table, unpack
@@ -202,8 +203,8 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model
     docs. None if a label is missing. Null and empty texts are examples without terms. An id with two labels counts as
     two rows, and so does one with two texts. Empty tables: None.
     """
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = cut(labels.select("doc_id", "toxic").distinct().withColumn("r", rank).where(F.col("r") <= examples).select("doc_id", "toxic"))
+    known = labels.select("doc_id", "toxic").distinct()
+    ids = cut(reduce(DataFrame.union, (known.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples) for v in (0, 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
