@@ -306,7 +306,9 @@ class Engine:
     # jobs and the session
 
     def add_at_time(self, fn: Any, start: dt.datetime, description: str = "") -> int:
-        return self.jobs.add_at_time(fn, start, description)
+        if start.tzinfo is None:
+            raise ValueError("a start needs a time zone")
+        return self.jobs.add_at_time(fn, start.astimezone(dt.UTC).replace(tzinfo=None), description)
 
     def set_jobs_deactivate_on_error(self, on: bool) -> None:
         self.jobs.deactivate_on_error = on

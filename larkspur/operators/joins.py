@@ -84,20 +84,22 @@ def asof_join(on: list[str], left: Frame, right: Frame) -> Frame:
 def window_join(by: list[str], time: str, start: Column, end: Column, aggregates: list[Column], left: Frame, right: Frame) -> Frame:
     """Aggregates of the right rows with equal keys and a time in [start, end) of each left row; none: nulls (counts 0).
 
-    Times are cut into slices as long as the longest window, so that a window meets two or three slices of its key and
-    the join is an equi-join with a residual, whatever the size of a key.
+    Windows fall into classes by length, each up to twice as long as the last; times are cut into slices as long as the
+    class allows, so that a window meets two or three slices of its key, however long others are, and the join is an
+    equi-join with a residual. A right row is there once for each class in use (some two or three, 63 at most).
     """
     left = left.ordered()
     micros = lambda c: F.unix_micros(c.cast("timestamp")) if c is not None else c
     kind = right.data.schema[time].dataType.typeName()
     scale = micros if kind in ("timestamp", "timestamp_ntz", "date") else (lambda c: c)
     rows = left.data.withColumn("__start", start).withColumn("__end", end).withColumn("__id", F.monotonically_increasing_id() if len(left.order) > 1 else quoted(left.order[0]))
-    longest = rows.agg(F.max(scale(F.col("__end")) - scale(F.col("__start")))).first()[0]
-    width = max(longest or 1, 1)
-    slot = lambda c: F.floor(scale(c) / F.lit(width)).cast("long")
-    wide = rows.where("__end > __start").select("__id", "__start", "__end", *(quoted(c).alias(f"__k_{c}") for c in by), F.explode(F.sequence(slot(F.col("__start")), slot(F.col("__end")))).alias("__slot"))
-    side = right.df.withColumn("__slot_r", slot(quoted(time)))
-    match = (F.col("__slot") == F.col("__slot_r")) & (quoted(time) >= F.col("__start")) & (quoted(time) < F.col("__end"))
+    size = (scale(F.col("__end")) - scale(F.col("__start"))).cast("double")
+    rows = rows.withColumn("__class", F.when(size > 1, F.ceil(F.log2(size))).otherwise(0).cast("int"))
+    classes = sorted(r[0] for r in rows.where("__end > __start").select("__class").distinct().collect())
+    slot = lambda c, k: F.floor(scale(c) / F.pow(F.lit(2.0), k)).cast("long")
+    wide = rows.where("__end > __start").select("__id", "__start", "__end", "__class", *(quoted(c).alias(f"__k_{c}") for c in by), F.explode(F.sequence(slot(F.col("__start"), F.col("__class")), slot(F.col("__end"), F.col("__class")))).alias("__slot"))
+    side = right.df.withColumn("__class_r", F.explode(F.array(*map(F.lit, classes)).cast("array<int>"))).withColumn("__slot_r", slot(quoted(time), F.col("__class_r")))
+    match = (F.col("__class") == F.col("__class_r")) & (F.col("__slot") == F.col("__slot_r")) & (quoted(time) >= F.col("__start")) & (quoted(time) < F.col("__end"))
     for c in by:
         match = match & (F.col(f"__k_{c}") == quoted(c))
     found = wide.join(side, match).groupBy("__id").agg(*aggregates)

@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from larkspur.plans.frame import Frame, quoted
 from larkspur.session import shared_folder
@@ -27,9 +26,13 @@ def stack(top: Frame, bottom: Frame) -> Frame:
         raise ValueError("frames of unlike columns can't be stacked")
     if not top.order and not bottom.order:
         return Frame(top.df.union(bottom.df))
-    parts = [f.ordered().data.select(*map(quoted, f.columns), F.lit(i).alias("__part"), F.struct(*map(quoted, f.ordered().order)).alias("__o")) for i, f in enumerate((top, bottom))]
-    rows = [p.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy("__o"))).drop("__o") for p in parts]
-    return Frame(rows[0].union(rows[1]), ["__part", "__row"])
+    both = [top.ordered(), bottom.ordered()]
+    kinds = [[f.data.schema[o].dataType for o in f.order] for f in both]
+    if kinds[0] != kinds[1]:  # rows ordered by unlike columns are numbered
+        both = [Frame(indexed(f, "__n"), ["__n"]) for f in both]
+    order = [f"__o{k}" for k in range(len(both[0].order))]
+    parts = [f.data.select(*map(quoted, f.columns), F.lit(i).alias("__part"), *(quoted(o).alias(n) for o, n in zip(f.order, order, strict=True))) for i, f in enumerate(both)]
+    return Frame(parts[0].union(parts[1]), ["__part", *order])
 
 
 def indexed(frame: Frame, name: str = "__i"):

@@ -195,6 +195,24 @@ QUERIES["stream_windows"] = stream_windows
 ORACLE_SQL["stream_windows"] = "select date_trunc('day', ts) as day, event_type, count(*) as n from events group by 1, 2"
 
 
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's sessions: windows that end when no event came for six hours."""
+    root = scratch(spark)
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = windowed_counts(stream, "ts", "6 hours", "1 hour", ["user_id"], session=True)
+    sink = counts.select("user_id", F.col("window.start").cast("timestamp_ntz").alias("since"), "n").writeStream
+    query = sink.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out")).outputMode("complete").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
+QUERIES["stream_sessions"] = stream_sessions
+ORACLE_SQL["stream_sessions"] = """with g as (select *, ts >= lag(ts) over w + interval 6 hours or lag(ts) over w is null as opens from events window w as (partition by user_id order by ts)),
+    k as (select *, sum(opens::int) over (partition by user_id order by ts rows unbounded preceding) as k from g)
+    select user_id, min(ts) as since, count(*) as n from k group by user_id, k"""
+
+
 def tick_subscription(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches logged and published; a subscriber that takes two kinds of events; then a replay of the log."""
     e, root = engine(spark, sf_dir), scratch(spark)

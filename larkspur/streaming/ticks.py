@@ -14,13 +14,17 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.operators import reshape
 from larkspur.plans.frame import Frame, from_columns, quoted
+from larkspur.session import shared_folder
 from larkspur.sources.partitioned import children
 
 SLOTS = 1024
+#: A growing frame is written to the checkpoint folder once in so many batches.
+COMPACT = 16
 
 
 class LogProblem(ValueError):
@@ -203,6 +207,9 @@ class Ticks:
                 old = have.ordered()
                 have = Frame(old.data.orderBy(*map(quoted, old.order)).select(*map(quoted, old.columns), F.struct(F.lit(-1).cast("long").alias("b"), F.monotonically_increasing_id().alias("m")).alias("__row")), ["__row"])
             rows = have.data.unionByName(rows)
+        if batch % COMPACT == COMPACT - 1:  # or the plan would grow with every batch
+            shared_folder(self.engine.spark)
+            rows = rows.checkpoint()
         out = Frame(rows, ["__row"])
         self.engine.batches[id(out)] = batch
         return out
@@ -222,6 +229,8 @@ class Ticks:
         """What a name has gathered, and an empty frame in its place."""
         with self.lock:
             have = self.engine.get_var(str(name), None)
+            if have is None:
+                raise KeyError(f"no frame {name}")
             if have is not None:
                 self.engine.set_var(str(name), Frame(have.data.where(F.lit(False)), have.order))
             return have
@@ -255,7 +264,7 @@ class Ticks:
             if isinstance(tick, str):
                 frame = frame.ordered()
                 base = self.counts[1]
-                rows = frame.data.withColumn(tick, F.row_number().over(Window.orderBy(*map(quoted, frame.order))) - 1 + F.lit(base))
+                rows = reshape.indexed(frame, "__tick").withColumn(tick, F.col("__tick") + F.lit(base)).drop("__tick")
                 self.counts[1] += rows.count()
                 frame = Frame(rows, frame.order)
             if self.log:
@@ -304,7 +313,10 @@ class Ticks:
         names = tables or sorted({t.removeprefix("table=") for s, _, _ in children(spark, path) for t, _, _ in children(spark, f"{path}/{s}")})
         for name in names:
             known = spark.read.option("basePath", path).parquet(f"{path}/seq=*/table={name}")
-            stream = spark.readStream.schema(known.schema).option("basePath", path).parquet(f"{path}/seq=*/table={name}").drop("__at", "seq", "table")
+            reader = spark.readStream.schema(known.schema).option("basePath", path)
+            if self.engine.queue_max:
+                reader = reader.option("maxFilesPerTrigger", self.engine.queue_max)
+            stream = reader.parquet(f"{path}/seq=*/table={name}").drop("__at", "seq", "table")
             if filters and name in filters:
                 column, values = filters[name]
                 stream = Subscriber(0, name, column, [str(v) for v in values]).wanted(stream)
@@ -336,7 +348,8 @@ def last_by_key(stream: DataFrame, keys: list[str], order: str, spark, target: s
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
 
 
-def windowed_counts(stream: DataFrame, time_column: str, length: str, late: str, by: list[str], slide: str | None = None) -> DataFrame:
-    """Rows by event-time window and keys, late rows admitted up to a watermark."""
-    window = F.window(time_column, length, slide) if slide else F.window(time_column, length)
+def windowed_counts(stream: DataFrame, time_column: str, length: str, late: str, by: list[str], slide: str | None = None, session: bool = False) -> DataFrame:
+    """Rows by event-time window and keys, late rows admitted up to a watermark. With `session` a window lasts until no row
+    came for that length."""
+    window = F.session_window(time_column, length).alias("window") if session else F.window(time_column, length, slide) if slide else F.window(time_column, length)
     return stream.withWatermark(time_column, late).groupBy(window, *map(quoted, by)).agg(F.count(F.lit(1)).alias("n"))

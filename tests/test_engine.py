@@ -261,3 +261,39 @@ def test_partition_is_replaced_at_once(e, spark, tmp_path):
     with pytest.raises(Exception, match="no"):
         e.write_partitioned_df(bad, root, "t", day, overwrite=True)
     assert read() == [1, 2, 3, 8, 9] and sorted(p.name for p in tmp_path.iterdir()) == ["t"]
+
+
+def test_windows_of_unlike_lengths(e, spark):
+    """A long window among short ones; every window's rows are those of brute force."""
+    left = [(i, i % 3, 10 * i, 10 * i - (5000 if i == 7 else 1 + i % 40)) for i in range(300)]
+    right = [(j % 3, 3 * j, float(j % 17)) for j in range(1200)]
+    e.set_table("l", spark.createDataFrame(left, "i long, k long, t long, lo long"), ["i"])
+    e.set_table("r", spark.createDataFrame(right, "k long, t long, v double"))
+    got = rows(e.eval("select i, n, m from wj(`k, `t, `lo, `t, {n: [count, `v], m: [max, `v]}, l, r)"))
+    for i, n, m in got:
+        _, k, t, lo = left[i]
+        inside = [v for kk, tt, v in right if kk == k and lo <= tt < t]
+        assert (n, m) == (len(inside), max(inside, default=None))
+    assert len(got) == 300
+
+
+def test_growing_frames_are_compacted(e):
+    from larkspur.streaming import ticks
+
+    for k in range(2 * ticks.COMPACT + 3):
+        e.upsert("many", e.eval(f"([]k: {k}, v: {k * 2})"))
+    frame = e.get_var("many")
+    assert rows(frame) == [(k, 2 * k) for k in range(2 * ticks.COMPACT + 3)]
+    assert frame.data._jdf.queryExecution().toString().count("Union") < 40
+    with pytest.raises(KeyError):
+        e.drain("none of that name")
+    with pytest.raises(ValueError, match="time zone"):
+        e.add_at_time("work", dt.datetime(2030, 1, 1))
+    assert e.add_at_time("work", dt.datetime(2030, 1, 1, 2, tzinfo=dt.timezone(dt.timedelta(hours=2)))) and rows(e.jobs.list())[-1][2] == dt.datetime(2030, 1, 1)
+    e.jobs.stop()
+
+
+def test_frames_of_unlike_orders_stack(e, spark):
+    e.set_table("a", spark.createDataFrame([(2, "x"), (1, "y")], "k long, v string"), ["k"])
+    e.set_table("b", spark.createDataFrame([(8, "q"), (9, "p")], "k long, v string"), ["v"])
+    assert [r[0] for r in rows(e.eval("vstack(a, b)"))] == [1, 2, 9, 8] and [r[0] for r in rows(e.eval("a ++ a"))] == [1, 2, 1, 2]
