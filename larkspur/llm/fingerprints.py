@@ -56,10 +56,11 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
 
 
 def merge_by(sketches: DataFrame, key: str, fingerprint: str = "sketch", k: int = K) -> DataFrame:
-    """(key, sketch): one merged sketch for each key. Each task passes on k hashes of a key at most, so hot keys hold."""
-    hashes = sketches.select(key, F.explode_outer(fingerprint).alias("h")).distinct()
-    least = hashes.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.asc_nulls_last("h")))).where(F.col("r") <= k)
-    return least.groupBy(key).agg(F.array_sort(F.collect_list("h")).alias("sketch"))
+    """(key, sketch): one merged sketch for each key. Each task passes on a key's k least hashes only (as often as
+    it has them), so hot keys hold."""
+    hashes = sketches.select(key, F.explode_outer(fingerprint).alias("h"))
+    least = hashes.withColumn("r", F.dense_rank().over(Window.partitionBy(key).orderBy(F.asc_nulls_last("h")))).where(F.col("r") <= k)
+    return least.select(key, "h").distinct().groupBy(key).agg(F.array_sort(F.collect_list("h")).alias("sketch"))
 
 
 def as_text(a: Column) -> Column:
