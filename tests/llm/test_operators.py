@@ -367,34 +367,6 @@ def test_pitman_yor(spark, odd, empty):
     assert {r.score for r in pitman_yor.score(odd.withColumn("l", F.lit(False)), "l").collect()} == {0.0}
 
 
-def test_probabilities_sum_to_one():
-    """Over all known words and the unknown one, in every context."""
-    import pyarrow as pa
-
-    texts = ["a b a c", "b b a", "c a b a a", "", "d a"]
-    t = pa.table({"doc_id": list(range(5)), "text": texts, "learn": [True] * 5, "gid": [0] * 5})
-    asked = pitman_yor._gather(1)(t)
-    told = pitman_yor._sample(1)(asked)
-    rows = []
-    for kind, blob in zip(told["kind"].to_pylist(), told["blob"].to_pylist(), strict=True):
-        if kind == 1:
-            cols = textkit.unpack(blob)
-            rows = [(i, *x) for i, x in enumerate(zip(*cols, strict=True))]
-    m = pitman_yor.Totals(rows)
-    k = pitman_yor.Types([x.encode() for x in texts], 1)
-    x = pitman_yor.reply(next(b for kd, b in zip(told["kind"].to_pylist(), told["blob"].to_pylist(), strict=True) if kd == 0))
-    s = 0
-    base = (1 + m.upper * m.tops[s]) / (m.known + 1) / (1 + m.guests[s])
-    parent = base + (x[1 + s] - m.upper * x[1 + pitman_yor.SAMPLES + s]) / (1 + m.guests[s])
-    assert parent.sum() + base == pytest.approx(1.0)
-    for u in np.unique(k.context):
-        own = np.zeros(len(k.words))
-        at = k.context == u
-        own[k.word_of[at]] = x[1 + 2 * pitman_yor.SAMPLES][at] - m.lower * x[2 + 2 * pitman_yor.SAMPLES + s][at]
-        p = (own + (1 + m.lower * m.tables[s][u]) * parent) / (1 + m.customers[u])
-        assert p.sum() + (1 + m.lower * m.tables[s][u]) * base / (1 + m.customers[u]) == pytest.approx(1.0)
-
-
 # 10
 
 
