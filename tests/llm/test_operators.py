@@ -220,6 +220,27 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
 
 
+@pytest.mark.parametrize("held", [0, 3, 1_000_000])
+def test_components_of_random_graphs(spark, held):
+    """Whatever a task holds, and whether inner nodes are broadcast or joined."""
+    rng = random.Random(held)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)] + [(500 + i, 700) for i in range(150)] + [(900, 901)] * 3
+    up = {x: x for e in edges for x in e if e[0] != e[1]}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            up[y] = x
+    df = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    rows = [tuple(r) for r in components.components(df, held=held).collect()]
+    assert len(rows) == len(up) and dict(rows) == {x: find(x) for x in up}
+
+
 # 4
 
 
