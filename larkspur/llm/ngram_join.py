@@ -26,8 +26,8 @@ from .textkit import Chunk, U, as_bytes, cut, discard, group_counts, mix, pack,
 WIDTH, PERCENT = 3, 90
 NO_ID = -(1 << 63)
 FLUSH = 1 << 19
-#: Larger blocks are searched tile by tile: each two of their parts of about so many shingles together.
-TILE = 1 << 20
+#: Larger blocks are searched tile by tile: each two of their parts of about so many shingles, or sets, together.
+TILE, TILE_SETS = 1 << 20, 1024
 #: Blocks' members that are broadcast at most (some 40 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -176,6 +176,7 @@ class Index:
 
     def __init__(self, sets: list[np.ndarray]):
         self.sizes = [len(s) for s in sets]
+        self.least = min(self.sizes)
         keys = np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(keys, kind="stable")
@@ -211,9 +212,13 @@ def merge_skip(lists: list[array], need: int) -> Iterator[tuple[int, int]]:
 
 
 def divide_skip(index: Index, query: np.ndarray, percent: int, skip) -> Iterator[int]:
-    """Positions in the index of the sets similar to the query, but for those that skip() names."""
+    """Positions in the index of the sets similar to the query, but for those that skip() names.
+
+    The overlap to reach follows from the least size that an indexed set similar to the query can have.
+    """
     n = len(query)
-    need = -(-percent * n // 100)
+    least = max(index.least, -(-percent * n // 100))
+    need = -(-percent * (n + least) // (100 + percent))
     lists = sorted((x for k in query.tolist() if (x := index.lists.get(k)) is not None), key=len)
     if len(lists) < need:
         return
@@ -317,14 +322,15 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     blocks = components(near)
     discard(met, rep)
     sized = blocks.join(profile.select(F.col("doc_id").alias("node"), "n").distinct(), "node").select(F.col("node").alias("doc_id"), F.col("component").alias("block"), "n")
-    large = cut(sized.groupBy("block").agg(F.sum("n").alias("size")).where(F.col("size") > TILE))
+    large = cut(sized.groupBy("block").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("sets")).where((F.col("size") > TILE) | (F.col("sets") > TILE_SETS)).select("block", F.lit(True).alias("is_large")))
     n_large = large.count()
     # linked sets differ little in size: a large block falls into bands of sizes, each set in its own and the next
     band = F.floor(F.ln("n") / F.lit(math.log(100 / (percent - 1)))).cast("int")
-    banded = sized.join(F.broadcast(large) if n_large <= BROADCAST_ROWS else large, "block", "left") if n_large else sized.withColumn("size", F.lit(0))
-    banded = banded.select("doc_id", "block", "n", F.explode(F.when(F.col("size") > TILE, F.array(band, band + 1)).otherwise(F.array(F.lit(0)))).alias("band"))
-    bands = banded.groupBy("block", "band").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    members = cut(banded.join(bands, ["block", "band"]).select("doc_id", "n", "block", "band", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")))
+    banded = sized.join(F.broadcast(large) if n_large <= BROADCAST_ROWS else large, "block", "left") if n_large else sized.withColumn("is_large", F.lit(False))
+    banded = banded.select("doc_id", "block", "n", F.when(F.col("is_large"), band).otherwise(F.lit(0)).alias("home"), F.explode(F.when(F.col("is_large"), F.array(band, band + 1)).otherwise(F.array(F.lit(0)))).alias("band"))
+    # what no set has for its own band has been searched one band below
+    bands = banded.groupBy("block", "band").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("sets"), F.max("home").alias("home")).where("sets > 1 and home = band").drop("home")
+    members = cut(banded.join(bands, ["block", "band"]).select("doc_id", "n", "block", "band", F.ceil(F.greatest(F.col("size") / TILE, F.col("sets") / TILE_SETS)).cast("int").alias("tiles")))
     discard(blocks, large)
     n_members = members.count()
     small = F.broadcast(members) if n_members <= BROADCAST_ROWS else members

@@ -51,6 +51,35 @@ def test_stage_is_what_brute_force_says(spark):
     assert got == kept(docs) and len(docs) - 1 not in got
 
 
+def family(rng, size, words=60):
+    """Near copies of one text, with up to nine words of their own."""
+    base, out = [f"b{i}" for i in range(words)], []
+    for _ in range(size):
+        c = list(base)
+        for _ in range(rng.randint(0, 9)):
+            c[rng.randrange(words)] = f"x{rng.random()}"
+        out.append(" ".join(c[: rng.randint(words - 15, words)]))
+    return out
+
+
+def test_blocks_of_many_sets_are_searched_by_tiles(spark, monkeypatch):
+    docs = list(enumerate(family(random.Random(9), 90)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    for sets in (7, 40, 1024):
+        monkeypatch.setattr(ngram_join, "TILE_SETS", sets)
+        assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == kept(docs), sets
+
+
+def test_search_finds_all_links_at_any_similarity():
+    rng = random.Random(3)
+    sets = ngram_join.sets_of([t.encode() for t in family(rng, 80)], 3)
+    index = ngram_join.Index(sets)
+    for percent in (50, 80, 90, 100):
+        for q, a in enumerate(sets):
+            got = sorted(ngram_join.divide_skip(index, a, percent, lambda x, q=q: x == q))
+            assert got == [p for p, b in enumerate(sets) if p != q and 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b))], (percent, q)
+
+
 def test_signatures_meet_at_lower_similarity():
     rng = np.random.default_rng(7)
     lows, random_pairs = ngram_join.size_classes(80, 5000), 0
