@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .textkit import Chunk, U, as_bytes, cut, discard, group_counts, mix, pack, shingles, spans, table, unpack
+from .textkit import Chunk, U, as_bytes, bucket_count, cut, discard, mix, pack, shingles, spans, table, unpack
 
 WIDTH, PERCENT = 3, 90
 NO_ID = -(1 << 63)
@@ -303,7 +303,7 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     for linking, and each keeps its own n_shingles. A row without id has component null. Empty table: empty result.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    _, buckets = group_counts(docs)
+    buckets = bucket_count(docs.count())
     met = cut(docs.mapInArrow(_profile(width, percent, buckets), "bucket int, kind int, blob binary").groupBy("bucket").applyInArrow(_meet, PROFILE))
     profile = cut(met.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("like"), "n", "s1", "s2"))
     real = profile.where(f"n > 0 and doc_id <> {NO_ID}")

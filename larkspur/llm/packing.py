@@ -8,13 +8,16 @@ starts at the first bin with room enough and goes on to the successor until a co
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ngram_join import linked
-from .textkit import table
+from .textkit import Chunk, as_bytes, spans, table
 
 CAPACITY = 2048
 #: Near duplicates share that many percent of their shingles of so many words.
@@ -91,17 +94,26 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", size
     return dealt.groupBy("shard").applyInArrow(run, "doc_id long, piece long, start long, size long, bin_id long, bin_offset long")
 
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text, the last column, gives way to its number of words; null has none."""
+    for b in batches:
+        texts = as_bytes(b.column(3))
+        counts = [np.diff(Chunk(texts[i:j]).words()[2]) for i, j in spans(texts)]
+        size = pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), size, b.column(2)], ["doc_id", "source", "size", "key_"])
+
+
 def sized(docs: DataFrame, text: str = "text", width: int = NEAR_WIDTH, percent: int = NEAR_PERCENT) -> DataFrame:
     """(doc_id, source, size, cluster): size in words, and the near-duplicate component of the text, case aside.
 
     Rows with one id are of one cluster, and so are all texts without words. A row without id goes by its text.
     """
-    words = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\x20\x09-\x0D]+", " "))
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(plain))
     near = linked(docs.select(key.alias("doc_id"), F.lower(text).alias("text")), width=width, percent=percent)
     near = near.where("n_shingles > 0").groupBy(F.col("doc_id").alias("key_")).agg(F.min("component_id").alias("near_"))
-    rows = docs.select("doc_id", "source", words.alias("size"), key.alias("key_"))
+    kinds = T.StructType([docs.schema["doc_id"], docs.schema["source"], T.StructField("size", T.LongType()), T.StructField("key_", T.LongType())])
+    rows = docs.select("doc_id", "source", key.alias("key_"), F.col(text).alias("text")).mapInArrow(_word_counts, kinds)
     return rows.join(near, "key_", "left").select("doc_id", "source", "size", F.coalesce("near_", F.xxhash64(F.lit(""))).alias("cluster"))
 
 

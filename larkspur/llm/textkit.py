@@ -163,6 +163,11 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def bucket_count(rows: int) -> int:
+    """Hash buckets for so many rows: they grow with the square root."""
+    return max(8, math.ceil(math.sqrt(rows) / 4))
+
+
 def group_counts(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """How many groups of documents and how many hash buckets for these documents.
 
@@ -171,7 +176,7 @@ def group_counts(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     thousands to billions.
     """
     rows, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
-    root = max(8, math.ceil(math.sqrt(rows) / 4))
+    root = bucket_count(rows)
     return max(root, math.ceil(rows / 16384), math.ceil(size / (1 << 26))), root
 
 

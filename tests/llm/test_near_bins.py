@@ -14,6 +14,8 @@ def test_near_copies_are_one_cluster(spark):
     docs = spark.createDataFrame([(d, t, str(k)) for k, (d, t) in enumerate(rows)], "doc_id long, text string, source string").repartition(3)
     got = {int(r.source): r.cluster for r in packing.sized(docs).collect()}
     assert len(got) == len(rows)
+    sizes = {int(r.source): r.size for r in packing.sized(docs).collect()}
+    assert sizes == {k: len((t or "").split()) for k, (_, t) in enumerate(rows)}
     groups = [{0, 1, 2, 3}, {4}, {5, 6}, {7, 8}, {11}]
     for g in groups:
         assert len({got[k] for k in g}) == 1, g
