@@ -1,8 +1,9 @@
 """Jaccard join of documents on word n-grams.
 
 Blocks first: a document's shingles are dealt by hash to one part more than two similar sets can differ in, so similar
-sets agree on a whole part (pigeonhole; exact, no sampling). Documents that agree on a part fall into one block. Inside
-a block the links are found by T-occurrence search: inverted lists of the block's shingles, short lists merged by a heap
+sets agree on a whole part (pigeonhole; exact, no sampling). Documents that agree on a part fall into one block. Lines
+that many texts have join unlike ones into a large block; there only those sets go on, and are dealt again, that have
+enough of their shingles in common with others of the block to link with any of them. Inside a block the links are found by T-occurrence search: inverted lists of the block's shingles, short lists merged by a heap
 that skips, long lists probed by binary search (DivideSkip), and documents kept that reach the required overlap.
 """
 
@@ -295,6 +296,87 @@ def _set_blobs(width: int):
     return run
 
 
+def _deal(width: int, buckets: int):
+    """Packed shingles for each bucket: 32 bits of the hash of block and shingle, and whose they are."""
+
+    def flush(ids: list, blocks: list, sets: list) -> Iterator[tuple[int, bytes]]:
+        sizes = [len(s) for s in sets]
+        keys = mix(np.concatenate(sets) + np.repeat(np.array(blocks, np.int64).view(U), sizes))
+        own, to, low = np.repeat(np.array(ids, np.int64), sizes), (keys >> U(32)) % U(buckets), keys.astype(np.uint32)
+        order = np.lexsort((low, to))
+        cuts = np.searchsorted(to[order], np.arange(buckets + 1))
+        for b in range(buckets):
+            if cuts[b] < cuts[b + 1]:
+                x = order[cuts[b] : cuts[b + 1]]
+                docs, where = np.unique(own[x], return_inverse=True)
+                yield b, pack(np.diff(low[x], prepend=np.uint32(0)), docs, where.astype(np.uint32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, blocks, sets, size = [], [], [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for b, blob in flush(ids, blocks, sets):
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
+
+        for b in batches:
+            texts, keys, of = as_bytes(b.column(2)), b.column(0).to_pylist(), b.column(1).to_pylist()
+            for i, j in spans(texts):
+                new = sets_of(texts[i:j], width)
+                ids += keys[i:j]
+                blocks += of[i:j]
+                sets += new
+                size += sum(map(len, new))
+                if size >= 4 * FLUSH:
+                    yield from out()
+                    ids, blocks, sets, size = [], [], [], 0
+        if ids:
+            yield from out()
+
+    return run
+
+
+def _shared(t: pa.Table) -> pa.Table:
+    """How many shingles of this bucket each document has that occur again in it."""
+    parts = [unpack(x) for x in t["blob"].to_pylist()]
+    low = np.concatenate([np.cumsum(x[0], dtype=np.uint32) for x in parts])
+    doc = np.concatenate([x[1][x[2]] for x in parts])
+    order = np.argsort(low, kind="stable")
+    same = np.diff(low[order]) == 0
+    ids, n = np.unique(doc[order[np.append(False, same) | np.append(same, False)]], return_counts=True)
+    return pa.table({"doc_id": ids, "shared": n.astype(np.int64)})
+
+
+def _few(ids: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(ids) if rows <= BROADCAST_ROWS else ids
+
+
+def linkable(docs: DataFrame, members: DataFrame, rows: int, size: int, width: int, percent: int) -> DataFrame:
+    """doc_id of those members (doc_id, n, block) that may link with another of their block: percent of their shingles or
+    more occur in it again. No link is lost: what two linked sets share occurs in both. Equal hashes of unlike shingles
+    only let more through. rows and size: how many members there are, and shingles of theirs."""
+    buckets = max(bucket_count(rows), math.ceil(size / (8 * FLUSH)))
+    of = _few(members.select("doc_id", "block").distinct(), rows)
+    dealt = docs.join(of, "doc_id").select("doc_id", "block", "text").mapInArrow(_deal(width, buckets), "bucket int, blob binary")
+    shared = dealt.groupBy("bucket").applyInArrow(_shared, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    return shared.join(members, "doc_id").where(100 * F.col("shared") >= percent * F.col("n")).select("doc_id").distinct()
+
+
+def rounds(tiles: int, wide: int, whole: int) -> list[tuple[int, int]]:
+    """Distances [low, high) of parts on their ring that are searched together, so that every two of so many parts meet
+    once. A set goes to two tiles for each distance: a round copies half as many shingles as all sets have, or goes one
+    distance far. wide: shingles of the sets in tiles, whole: of all."""
+    step = max(1, whole // (4 * max(1, wide)))
+    return [(d, min(d + step, tiles // 2 + 1)) for d in range(1, tiles // 2 + 1, step)]
+
+
+def in_tiles(held: DataFrame, low: int, high: int) -> DataFrame:
+    """Each set once for each tile (i, j) of its part and one that lies low to high - 1 parts away on the ring."""
+    near = f"filter(sequence({low}, {high - 1}), d -> d <= tiles div 2)"
+    others = F.expr(f"array_distinct(flatten(transform({near}, d -> array(pmod(chunk + d, tiles), pmod(chunk - d, tiles)))))")
+    far = held.withColumn("other", F.explode(others))
+    return far.select("doc_id", "block", "band", "blob", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+
+
 def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row for each row of docs, in its own terms.
 
@@ -303,8 +385,13 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     for linking, and each keeps its own n_shingles. A row without id has component null. Empty table: empty result.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    buckets = bucket_count(docs.count())
-    met = cut(docs.mapInArrow(_profile(width, percent, buckets), "bucket int, kind int, blob binary").groupBy("bucket").applyInArrow(_meet, PROFILE))
+    rows = docs.count()
+
+    def meet(docs: DataFrame, rows: int) -> DataFrame:
+        buckets = bucket_count(rows)
+        return cut(docs.mapInArrow(_profile(width, percent, buckets), "bucket int, kind int, blob binary").groupBy("bucket").applyInArrow(_meet, PROFILE))
+
+    met = meet(docs, rows)
     profile = cut(met.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("like"), "n", "s1", "s2"))
     real = profile.where(f"n > 0 and doc_id <> {NO_ID}")
     # equal sets: within a flush each names its stand-in, so that a class has a row for each flush when the flushes meet
@@ -321,28 +408,52 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
         near = near.join(rep.select(F.col("doc_id").alias(end), "rep"), end, "left").withColumn(end, F.coalesce("rep", end)).drop("rep")
     blocks = components(near)
     discard(met, rep)
-    sized = blocks.join(profile.select(F.col("doc_id").alias("node"), "n").distinct(), "node").select(F.col("node").alias("doc_id"), F.col("component").alias("block"), "n")
-    large = cut(sized.groupBy("block").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("sets")).where((F.col("size") > TILE) | (F.col("sets") > TILE_SETS)).select("block", F.lit(True).alias("is_large")))
-    n_large = large.count()
+    sizes = profile.select(F.col("doc_id").alias("node"), "n").distinct()
+    while True:
+        sized = blocks.join(sizes, "node").select(F.col("node").alias("doc_id"), F.col("component").alias("block"), "n")
+        large = cut(sized.groupBy("block").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("sets")).where((F.col("size") > TILE) | (F.col("sets") > TILE_SETS)))
+        n_large, n_sets, size = large.agg(F.count(F.lit(1)), F.sum("sets"), F.sum("size")).first()
+        if not n_large:
+            break
+        able = cut(linkable(docs, sized.join(_few(large.select("block"), n_large), "block"), n_sets, size, width, percent))
+        n_able = able.count()
+        if 10 * n_able > 9 * n_sets:
+            discard(able)
+            break
+        met = meet(docs.join(_few(able, n_able), "doc_id", "left_semi"), n_able)
+        again, before = components(met.where("kind = 0").select("a", "b")), blocks
+        blocks = cut(before.join(_few(large.select(F.col("block").alias("component")), n_large), "component", "left_anti").select("node", "component").union(again))
+        discard(able, met, again, before, large)
+    large_blocks = _few(large.select("block", F.lit(True).alias("is_large")), n_large)
     # linked sets differ little in size: a large block falls into bands of sizes, each set in its own and the next
     band = F.floor(F.ln("n") / F.lit(math.log(100 / (percent - 1)))).cast("int")
-    banded = sized.join(F.broadcast(large) if n_large <= BROADCAST_ROWS else large, "block", "left") if n_large else sized.withColumn("is_large", F.lit(False))
+    banded = sized.join(large_blocks, "block", "left") if n_large else sized.withColumn("is_large", F.lit(False))
     banded = banded.select("doc_id", "block", "n", F.when(F.col("is_large"), band).otherwise(F.lit(0)).alias("home"), F.explode(F.when(F.col("is_large"), F.array(band, band + 1)).otherwise(F.array(F.lit(0)))).alias("band"))
     # what no set has for its own band has been searched one band below
     bands = banded.groupBy("block", "band").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("sets"), F.max("home").alias("home")).where("sets > 1 and home = band").drop("home")
     members = cut(banded.join(bands, ["block", "band"]).select("doc_id", "n", "block", "band", F.ceil(F.greatest(F.col("size") / TILE, F.col("sets") / TILE_SETS)).cast("int").alias("tiles")))
     discard(blocks, large)
     n_members = members.count()
-    small = F.broadcast(members) if n_members <= BROADCAST_ROWS else members
-    held = docs.join(small, "doc_id").select("doc_id", "n", "block", "band", "tiles", "text").mapInArrow(_set_blobs(width), "doc_id long, n long, block long, band int, tiles int, blob binary")
+    held = docs.join(_few(members, n_members), "doc_id").select("doc_id", "n", "block", "band", "tiles", "text").mapInArrow(_set_blobs(width), "doc_id long, n long, block long, band int, tiles int, blob binary")
     held = held.where(F.length("blob") == 8 * F.col("n"))  # of an id's several texts the one meant
-    chunk = F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")
-    held = held.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("tiles = 1 or chunk <> other")
-    held = held.select("doc_id", "block", "band", "blob", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    held = held.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
     part = F.pmod(F.xxhash64("block", "band", "i", "j"), F.lit(max(8, n_members // 256)))
-    links = held.withColumn("part", part).groupBy("part").applyInArrow(_search(percent), "a long, b long")
+
+    def search(held: DataFrame) -> DataFrame:
+        return held.withColumn("part", part).groupBy("part").applyInArrow(_search(percent), "a long, b long")
+
+    links, spent = search(held.where("tiles = 1").select("doc_id", "block", "band", "blob", F.lit(0).alias("i"), F.lit(0).alias("j"))), []
+    tiles, wide = members.where("tiles > 1").agg(F.max("tiles"), F.sum("n")).first() if n_large else (None, None)
+    if tiles:
+        # rounds keep the copies on disk few: what one has shuffled is deleted before the next
+        whole = profile.agg(F.sum("n")).first()[0]
+        parts = cut(held.where("tiles > 1"))
+        for low, high in rounds(tiles, wide, whole):
+            spent.append(cut(search(in_tiles(parts, low, high))))
+            links = links.union(spent[-1])
+        discard(parts)
     reached = components(links.union(copies.toDF("a", "b")))
-    discard(members, across)
+    discard(members, across, *spent)
     out = profile.join(reached, F.col("doc_id") == F.col("node"), "left")
     own = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
     return out.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", own).alias("component_id"))
