@@ -27,20 +27,40 @@ from .textkit import Chunk, U, as_bytes, bucket_count, cut, discard, mix, pack,
 WIDTH, PERCENT = 3, 90
 NO_ID = -(1 << 63)
 FLUSH = 1 << 19
+#: Bytes of text, and shingles, that one NumPy call works on: their arrays stay in a processor's cache.
+SPAN_BYTES, SPAN_SETS = 1 << 16, 1 << 15
+#: The odd multiplier of a shingle's words.
+STEP = U(0xD6E8FEB86659FD93)
 #: Larger blocks are searched tile by tile: each two of their parts of about so many shingles, or sets, together.
 TILE, TILE_SETS = 1 << 20, 1024
 #: Blocks' members that are broadcast at most (some 40 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
 
+def distinct(s: np.ndarray) -> np.ndarray:
+    """Sorted, each value once."""
+    s = np.sort(s)
+    new = s[1:] != s[:-1]
+    return s if new.all() else s[np.append(True, new)]
+
+
 def sets_of(texts: list[bytes], width: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; fewer words than width: the whole sequence as one; none: empty."""
+    """Sorted distinct shingle hashes of each text; fewer words than width: the whole sequence as one; none: empty.
+
+    Word hashes are sums of a polynomial, mixed once for a shingle; the words of a span of texts are hashed together, and
+    the shingles that begin in one text and end in the next are left out."""
     out = []
-    for i, j in spans(texts):
+    for i, j in spans(texts, SPAN_BYTES):
         words, bounds = Chunk(texts[i:j], lower=True).word_hashes()
+        runs = words[: max(0, len(words) - width + 1)].copy()
+        for k in range(1, width):
+            runs *= STEP
+            runs += words[k : k + len(runs)]
+        runs = mix(runs)
+        bounds = bounds.tolist()
         for s, e in zip(bounds[:-1], bounds[1:], strict=True):
             w = words[s:e]
-            out.append(np.unique(shingles(w, width)) if e - s >= width else mix(shingles(w, e - s) + U(e - s)) if e > s else w)
+            out.append(distinct(runs[s : e - width + 1]) if e - s >= width else mix(shingles(w, e - s) + U(e - s)) if e > s else w)
     return out
 
 
@@ -52,29 +72,58 @@ def size_classes(percent: int, most: int) -> list[int]:
     return lows
 
 
-def part_signatures(s: np.ndarray, percent: int, lows: list[int]) -> np.ndarray:
-    """Signatures of which any two sets with that Jaccard similarity share one.
+def _class_signatures(sets: list[np.ndarray], n: np.ndarray, c: np.ndarray, percent: int, lows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    values = np.concatenate(sets)
+    differ = 2 * (lows[c + 1] - 1) * (100 - percent) // (100 + percent)
+    m = np.where(differ > 0, differ + np.maximum(2, differ * 36 // 100), 1)
+    first = np.cumsum(m) - m
+    part = ((values & U(0xFFFFFFFF)) * np.repeat(m, n).astype(U) >> U(32)).astype(np.int64) + np.repeat(first, n)
+    counts, sums = np.bincount(part, minlength=m.sum()), np.zeros(m.sum(), U)
+    np.add.at(sums, part, values)
+    # no similar set is larger than 100 / percent times this one
+    own = np.minimum(differ, (100 - percent) * (n + 100 * n // percent) // (100 + percent))
+    owner = np.repeat(np.arange(len(n)), m)
+    most = np.sort(owner << 32 | counts)[first + m - 1 - own] & 0xFFFFFFFF
+    use = np.flatnonzero(counts >= most[owner])
+    owner = owner[use]
+    return mix(sums[use] + mix((use - first[owner]).astype(U) + (c[owner].astype(U) << U(32)) + U(1 << 60))), owner
+
+
+def signatures(sets: list[np.ndarray], percent: int, lows: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of which any two sets with that Jaccard similarity share one, and the position of each one's set.
 
     Such sets differ in at most (100 - percent) / (100 + percent) of their summed sizes, and so on as many parts at most.
     A set with t shingles or more in more parts than that agrees on one of these, so the largest such t counts: parts
-    with few shingles tell little, those without nothing. Of two sets the one with the larger t decides.
+    with few shingles tell little, those without nothing. Of two sets the one with the larger t decides. Shingles are
+    hashes, so half of their bits deals them to parts as they are.
     """
-    n, values = len(s), mix(s)
-    k = int(np.searchsorted(lows, n, "right")) - 1
-    out = []
-    for c in (k, k + 1):
-        if c > k and 100 * n < percent * lows[c]:
-            continue
-        differ = 2 * (lows[c + 1] - 1) * (100 - percent) // (100 + percent)
-        m = differ + max(2, differ * 36 // 100) if differ else 1
-        part = ((mix(values + U(c)) >> U(32)) * U(m) >> U(32)).astype(np.int64)
-        sums, counts = np.zeros(m, U), np.bincount(part, minlength=m)
-        np.add.at(sums, part, values)
-        # no similar set is larger than 100 / percent times this one
-        own = min(differ, (100 - percent) * (n + 100 * n // percent) // (100 + percent))
-        use = np.flatnonzero(counts >= np.sort(counts)[m - 1 - own])
-        out.append(mix(sums[use] + mix(use.astype(U) + U(c << 32) + U(1 << 60))))
-    return np.concatenate(out)
+    bounds, sigs, owners = np.array(lows), [], []
+    for i, j in spans(sets, SPAN_SETS):
+        n = np.fromiter(map(len, sets[i:j]), np.int64, j - i)
+        k = np.searchsorted(bounds, n, "right") - 1
+        next_too = np.flatnonzero(100 * n >= percent * bounds[k + 1])
+        for at, c in ((np.arange(j - i), k), (next_too, k[next_too] + 1)):
+            if len(at):
+                sig, owner = _class_signatures([sets[i + x] for x in at.tolist()], n[at], c, percent, bounds)
+                sigs.append(sig)
+                owners.append(i + at[owner])
+    return np.concatenate(sigs), np.concatenate(owners)
+
+
+def part_signatures(s: np.ndarray, percent: int, lows: list[int]) -> np.ndarray:
+    """The signatures of one set."""
+    return signatures([s], percent, lows)[0]
+
+
+def set_hashes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of hash for each set, in two halves: sums of its shingles as they are, and mixed once more."""
+    halves: tuple[list, list] = [], []
+    for i, j in spans(sets, SPAN_SETS):
+        ends = np.cumsum(np.fromiter(map(len, sets[i:j]), np.int64, j - i))
+        values = np.concatenate(sets[i:j])
+        for half, x in zip(halves, (values, mix(values)), strict=True):
+            half.append(np.diff(np.append(U(0), np.cumsum(x, dtype=U))[ends], prepend=U(0)))
+    return np.concatenate(halves[0]), np.concatenate(halves[1])
 
 
 def _profile(width: int, percent: int, buckets: int):
@@ -84,8 +133,7 @@ def _profile(width: int, percent: int, buckets: int):
     def flush(ids: list, sets: list, at: int) -> Iterator[tuple[int, int, bytes]]:
         ids = np.array(ids, np.int64)
         n = np.fromiter(map(len, sets), np.int64, len(sets))
-        s1 = np.array([mix(s).sum(dtype=U) for s in sets], U)
-        s2 = np.array([mix(s + U(77)).sum(dtype=U) for s in sets], U)
+        s1, s2 = set_hashes(sets)
         own = np.flatnonzero((n > 0) & (ids != NO_ID))
         _, first, which = np.unique(np.rec.fromarrays([n[own], s1[own], s2[own]]), return_index=True, return_inverse=True)
         use, like = own[first], ids.copy()
@@ -93,22 +141,25 @@ def _profile(width: int, percent: int, buckets: int):
         yield at % buckets, 1, pack(ids, n, s1, s2, like)
         if not len(use):
             return
-        lows = size_classes(percent, 2 * int(n.max()) + 4)
-        sigs = [part_signatures(sets[i], percent, lows) for i in use]
-        own = np.repeat(ids[use], [len(x) for x in sigs])
-        sig, one = np.unique(np.concatenate(sigs), return_index=True)
-        _, group = np.unique(np.concatenate(sigs), return_inverse=True)
-        pivot = own[one][group]
+        sig, own = signatures([sets[i] for i in use.tolist()], percent, size_classes(percent, 2 * int(n.max()) + 4))
+        names, place = np.unique(ids[use], return_inverse=True)
+        order = np.argsort(sig)
+        sig, own = sig[order], place[own[order]]
+        head = np.append(True, sig[1:] != sig[:-1])
+        pivot = own[head][np.cumsum(head) - 1]
         if (other := pivot != own).any():
-            yield at % buckets, 2, pack(*np.unique(np.stack([own[other], pivot[other]]), axis=1))
-        own, to = own[one], (sig >> U(20)) % U(buckets)
-        order = np.argsort(to, kind="stable")
-        cuts = np.searchsorted(to[order], np.arange(buckets + 1))
+            pairs = np.unique(own[other] * len(names) + pivot[other])
+            yield at % buckets, 2, pack(names[pairs // len(names)], names[pairs % len(names)])
+        # buckets are ranges of signatures, so they lie in order
+        sig, own = sig[head], own[head]
+        to = ((sig >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+        cuts = np.searchsorted(to, np.arange(buckets + 1))
+        docs, where = np.unique(to * len(names) + own, return_inverse=True)
+        of = np.searchsorted(docs, np.arange(buckets + 1) * len(names))
         for b in range(buckets):
             if cuts[b] < cuts[b + 1]:
-                x = order[cuts[b] : cuts[b + 1]]
-                docs, where = np.unique(own[x], return_inverse=True)
-                yield b, 0, pack(np.diff(sig[x], prepend=U(0)), docs, where.astype(np.uint32))
+                x = slice(cuts[b], cuts[b + 1])
+                yield b, 0, pack(np.diff(sig[x], prepend=U(0)), names[docs[of[b] : of[b + 1]] - b * len(names)], (where[x] - of[b]).astype(np.uint32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sets, size, at = [], [], 0, 0
