@@ -1,6 +1,8 @@
 """Plans and results that must hold when tables grow."""
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,3 +35,21 @@ def test_weights_go_on_from_batch_to_batch(spark):
             assert got[g, k] == tuple(None if x != x else pytest.approx(x, rel=1e-12) for x in want)
     with pytest.raises(ValueError):
         e.eval("update m: 1.5 emean v by g from t")
+
+
+def test_whole_aggregates_leave_rows_where_they_are(spark, sf):
+    for name in ("infix_fold", "terse_fold", "spread_aggregate_all"):
+        plan = q.QUERIES[name](spark, sf)._jdf.queryExecution().toString()
+        assert "Window" not in plan and "partial_m" in plan
+
+
+def test_whole_aggregates_of_odd_values(spark, tmp_path):
+    path, nan = f"{tmp_path}/t.parquet", float("nan")
+    pq.write_table(pa.table({"k": [0, 1, 2, 3, 4], "v": pa.array([1.0, nan, 3.0, nan, None])}), path)  # bounds without NaN
+    e = Engine(spark)
+    e.set_table("t", spark.read.parquet(path), ["k"])
+    got = lambda source: [tuple(r) for r in e.eval(source).df.orderBy(*e.eval(source).df.columns[:1]).collect()]
+    assert got("select k from t where v = max(v)") == [(1,), (3,)]
+    assert got("select k from t where v = min(v)") == [(0,)]
+    assert got("select k, n: count(i), f: first(v), d: k - min(k), r: csum(k - max(k)) from t where k < 2") == [(0, 2, 1.0, 0, -1), (1, 2, 1.0, 1, -1)]
+    assert got("select k, n: count(i), m: sum(v) from t where k > 9") == []
